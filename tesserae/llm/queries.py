@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, ranking, repetition, splitting
+from tesserae.llm import bpe, packing, pairs, ranking, repetition, splitting
 from tesserae.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,13 @@ def p9_found(spark, d):
 @query("p9_shares")
 def p9_shares(spark, d):
     return repetition.repetition(table(spark, d, "documents")).withColumn("repeated_share", F.round("repeated_share", 6))
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return pairs.defects(table(spark, d, "grounded_answers"))
+
+
+@query("p1_counts")
+def p1_counts(spark, d):
+    return pairs.defects(table(spark, d, "grounded_answers")).groupBy("defect").agg(F.count("*").alias("n"))
