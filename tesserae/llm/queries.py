@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, pairs, ranking, repetition, splitting
+from tesserae.llm import bpe, packing, pairs, ranking, repetition, splitting, syntax
 from tesserae.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,18 @@ def p1_found(spark, d):
 @query("p1_counts")
 def p1_counts(spark, d):
     return pairs.defects(table(spark, d, "grounded_answers")).groupBy("defect").agg(F.count("*").alias("n"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return syntax.invalid_files(table(spark, d, "file_info"))
+
+
+@query("p4_failures")
+def p4_failures(spark, d):
+    return syntax.failures(table(spark, d, "file_info"))
+
+
+@query("p4_rates")
+def p4_rates(spark, d):
+    return syntax.rates(table(spark, d, "file_info"), table(spark, d, "parsed_files"))
