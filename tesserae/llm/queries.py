@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, packing, pairs, ranking, repetition, splitting, syntax
+from tesserae.llm import bpe, packing, pairs, provenance, ranking, repetition, splitting, syntax
 from tesserae.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,13 @@ def p4_failures(spark, d):
 @query("p4_rates")
 def p4_rates(spark, d):
     return syntax.rates(table(spark, d, "file_info"), table(spark, d, "parsed_files"))
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    return p5_origins(spark, d).select("file_id")
+
+
+@query("p5_origins")
+def p5_origins(spark, d):
+    return provenance.origins(table(spark, d, "file_info"), table(spark, d, "library_files"))
