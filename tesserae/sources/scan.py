@@ -10,8 +10,10 @@ of the content.
 
 from __future__ import annotations
 
+import os
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +111,31 @@ def scan(files: DataFrame, rules: list[tuple[int, str, bool]] | None = None, cus
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``path, size, content`` of all files below a folder, paths relative to it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), r"^file:/*", "/")
-    return found.select(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), F.concat(F.lit("^"), base), F.lit("")).alias("path"), F.col("length").alias("size"), "content")
+    """``path, size, content`` of all files below a folder that every worker sees, paths relative to it.
+
+    Built-in file sources leave out names that begin with ``_`` or ``.``, as ``__init__.py``
+    does, so workers walk the folders themselves, one entry of the first level a row.
+    Unreadable files have null contents; a missing folder raises.
+    """
+    if not os.path.isdir(root):
+        raise ValueError(f"no folder: {root}")
+
+    def walk(batches):
+        for pdf in batches:
+            for entry in pdf["entry"]:
+                start = os.path.join(root, entry)
+                names = [start] if os.path.isfile(start) else [os.path.join(f, n) for f, _, found in os.walk(start) for n in found]
+                for name in names:
+                    try:
+                        with open(name, "rb") as file:
+                            content = file.read()
+                    except OSError:
+                        content = None
+                    yield pd.DataFrame({"path": [os.path.relpath(name, root)], "size": [len(content) if content is not None else 0], "content": [content]})
+
+    entries = sorted(os.listdir(root))
+    rows = spark.createDataFrame([(e,) for e in entries], "entry string").repartition(max(1, min(len(entries), 64)))
+    return rows.mapInPandas(walk, "path string, size bigint, content binary")
 
 
 def breakdown(scanned: DataFrame) -> DataFrame:
