@@ -15,18 +15,25 @@ def finite(c: Column) -> Column:
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def min_max(df: DataFrame, score: str, out: str, group: str = "query_id", present: Column | None = None) -> DataFrame:
-    """Adds ``out``: the score scaled to [0, 1] within its group.
+def _scaled(value: Column, low: Column, high: Column) -> Column:
+    span = high - low
+    return F.when(value.isNull(), 0.0).when(span < 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / span)))
+
+
+def min_max(df: DataFrame, scores: dict[str, tuple[str, Column | None]], group: str = "query_id") -> DataFrame:
+    """Adds for each ``out: (score, present)`` the score scaled to [0, 1] within its group.
 
     All 1 where the range is below 1e-9, so also for a single value; values that are not
-    finite are left out of the range and give 0. Least and greatest are aggregated first
-    and joined back, so a hot group needs no window over all its rows.
+    finite, or not present, are left out of the range and give 0. Least and greatest of all
+    scores are aggregated in one pass and joined back, so a hot group needs no window over
+    all its rows.
     """
-    value = finite(F.col(score)) if present is None else F.when(present, finite(F.col(score)))
-    ends = df.groupBy(group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    span = F.col("_high") - F.col("_low")
-    scaled = F.when(value.isNull(), 0.0).when(span < 1e-9, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - F.col("_low")) / span)))
-    return df.join(ends, group).withColumn(out, scaled).drop("_low", "_high")
+    values = {out: finite(F.col(c)) if present is None else F.when(present, finite(F.col(c))) for out, (c, present) in scores.items()}
+    ends = df.groupBy(group).agg(*[f(v).alias(f"_{n}_{out}") for out, v in values.items() for n, f in (("low", F.min), ("high", F.max))])
+    joined = df.join(ends, group)
+    for out, v in values.items():
+        joined = joined.withColumn(out, _scaled(v, F.col(f"_low_{out}"), F.col(f"_high_{out}")))
+    return joined.drop(*[f"_{n}_{out}" for out in values for n in ("low", "high")])
 
 
 def weighted(lexical: Column, semantic: Column, alpha: Column) -> Column:
@@ -46,8 +53,7 @@ def candidates(results: DataFrame) -> DataFrame:
         F.max(finite(F.col("lexical_score"))).alias("lexical_score"), F.max(finite(F.col("semantic_score"))).alias("semantic_score"),
         F.max("lexical_rank").alias("lexical_rank"), F.max("semantic_rank").alias("semantic_rank"),
     )
-    one = min_max(one, "lexical_score", "norm_lexical", present=F.col("lexical_rank") > 0)
-    return min_max(one, "semantic_score", "norm_semantic", present=F.col("semantic_rank") > 0)
+    return min_max(one, {"norm_lexical": ("lexical_score", F.col("lexical_rank") > 0), "norm_semantic": ("semantic_score", F.col("semantic_rank") > 0)})
 
 
 def ranked(df: DataFrame, score: Column, k: int | None = None, extra: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as T
 from tesserae.operators import evaluation as M
 from tesserae.operators import evidence as K
+from tesserae.operators import expansion as X
 from tesserae.operators import fusion as H
 from tesserae.operators import resolve as R
 from tesserae.operators import tools as L
@@ -193,6 +194,16 @@ def primary_search_adaptive(spark, d):
     return pipeline.primary_search(table(spark, d, "hybrid_search_options"), file_elements(table(spark, d, "file_info")), alpha=None)
 
 
+@query("related_search")
+def related_search(spark, d):
+    """Fused results with the candidates of the same file as their neighbours."""
+    results = table(spark, d, "primary_search_results")
+    fused = H.fuse_weighted(results, F.lit(0.8), 10).select("query_id", "element_id", "rank")
+    names = results.groupBy("element_id").agg(F.first("element_name").alias("name"), F.first("file_path").alias("file_path"))
+    ends = results.groupBy("file_path").agg(F.min("element_id").alias("source"), F.max("element_id").alias("target")).where("source < target")
+    return X.related_search(fused, ends.select("source", "target", F.lit("References").alias("kind")), names)
+
+
 # Evidence
 
 _SUBJECTS = f"subj AS (SELECT DISTINCT query_id, lower(regexp_replace({_CLEAN}, '[?!.,:;]+$', '')) AS subject FROM ({_WORDS}) WHERE {T.sql_role(_CLEAN)} IN ('Subject', 'Technical'))"

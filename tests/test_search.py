@@ -76,7 +76,7 @@ def test_index_and_search(spark, elements):
 def test_min_max(spark):
     for got, want in (([10.0, 20.0, 30.0, 40.0, 50.0], [0, 0.25, 0.5, 0.75, 1]), ([42.5], [1]), ([7.0, 7.0], [1, 1]), ([10.0, float("nan"), 20.0, float("inf"), 30.0], [0, 0, 0.5, 0, 1])):
         df = spark.createDataFrame([(1, i, v) for i, v in enumerate(got)], "query_id int, i int, s double")
-        assert [r.o for r in H.min_max(df, "s", "o").orderBy("i").collect()] == want
+        assert [r.o for r in H.min_max(df, {"o": ("s", None)}).orderBy("i").collect()] == want
 
 
 def fusion_rows(spark, ranks):
