@@ -43,11 +43,6 @@ def p2_pieces(spark, d):
     return splitting.pieces(table(spark, d, "source_excerpts"), table(spark, d, "window_slices"), table(spark, d, "size_limits"))
 
 
-@query("p6_found")
-def p6_found(spark, d):
-    return ranking.first_candidates(table(spark, d, "primary_search_results"), table(spark, d, "scored_candidates"), table(spark, d, "hybrid_search_options"))
-
-
 _RANKED = """
 WITH main AS (
   SELECT query_id, element_id,
@@ -72,16 +67,24 @@ pairs AS (
   SELECT *, lag(mid) OVER o AS mid0, lag(place) OVER o AS place0 FROM stepped WINDOW o AS (PARTITION BY query_id, element_id ORDER BY place, w)),
 final AS (
   SELECT query_id, element_id,
-         round(coalesce(min(CASE WHEN mid >= 0.5 THEN CASE WHEN mid0 IS NULL THEN place ELSE place0 + (place - place0) * (0.5 - mid0) / (mid - mid0) END END), max(place)), 6) AS median_place,
+         round(coalesce(min(CASE WHEN mid >= 0.5 AND (mid0 IS NULL OR mid0 < 0.5) THEN CASE WHEN mid0 IS NULL THEN place ELSE place0 + (place - place0) * (0.5 - mid0) / (mid - mid0) END END), max(place)), 6) AS median_place,
          round(sum(place * w), 6) AS mean_place
-  FROM pairs WHERE mid < 0.5 OR mid0 IS NULL OR mid0 < 0.5 GROUP BY ALL)
+  FROM pairs GROUP BY ALL)
 """
 
 
-@query("p6_ranking")
+_FIRST = "c AS (SELECT *, round((median_place + mean_place) / 2, 6) AS combined FROM final), f AS (SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY combined, mean_place, element_id) AS r FROM c)"
+
+
+@query("p6_found", _RANKED + ", " + _FIRST + " SELECT query_id, element_id FROM f WHERE r = 1 AND query_id IN (SELECT query_id FROM hybrid_search_options)")
+def p6_found(spark, d):
+    return ranking.first_candidates(table(spark, d, "primary_search_results"), table(spark, d, "scored_candidates"), table(spark, d, "hybrid_search_options"))
+
+
+@query("p6_ranking", _RANKED + " SELECT query_id, element_id, round(median_place, 4) AS median_place, round(mean_place, 4) AS mean_place FROM final")
 def p6_ranking(spark, d):
     ranked = ranking.median_rank(table(spark, d, "primary_search_results"), table(spark, d, "scored_candidates"), table(spark, d, "hybrid_search_options"))
-    return ranked.select("query_id", "element_id", *[F.round(c, 6).alias(c) for c in ("median_place", "mean_place", "combined_place")])
+    return ranked.select("query_id", "element_id", *[F.round(F.round(c, 6), 4).alias(c) for c in ("median_place", "mean_place")])
 
 
 @query("p7_ids")
