@@ -16,7 +16,7 @@ from tesserae.operators.index import SQL_ELEMENTS, file_elements
 from tesserae.plans import pipeline
 from tesserae.plans.registry import query
 from tesserae.plans.search_queries import _CLEAN, _FUSED, _WORDS, _words
-from tesserae.session import table
+from tesserae.session import cut, table
 from tesserae.sources import parse, scan, tables
 from tesserae.streaming.incremental import upsert_files
 
@@ -162,11 +162,15 @@ def import_resolution(spark, d):
 
 @query("call_resolution")
 def call_resolution(spark, d):
-    found = _parsed(spark, d)
-    calls = found.where("kind = 'Call'").select(F.col("element_id").alias("id"), "file_id", F.col("parent_context").alias("scope"), F.col("name").alias("callee"))
-    functions = found.where("kind IN ('Function', 'Method', 'Component')").select("element_id", "file_id", "name", "parent_context")
-    none = calls.select("file_id", F.col("file_id").alias("target_file")).limit(0)
-    return R.resolve_calls(calls, functions, none).groupBy("layer", "status").agg(F.count("*").alias("n"))
+    files = table(spark, d, "file_info").select("file_id", "repo_name", "path").distinct()
+    parsed = _parsed(spark, d).where("kind IN ('Call', 'Function', 'Method', 'Component', 'Include')").select("element_id", "file_id", "file_path", "kind", "name", "parent_context")
+    found = cut(parsed.join(files.select("file_id", "repo_name"), "file_id"))
+    calls = found.where("kind = 'Call'").select(F.col("element_id").alias("id"), "file_id", "repo_name", F.col("parent_context").alias("scope"), F.col("name").alias("callee"))
+    functions = found.where("kind IN ('Function', 'Method', 'Component')").select("element_id", "file_id", "repo_name", "name", "parent_context")
+    imports = found.where("kind = 'Include'").select(F.col("element_id").alias("id"), "file_id", "repo_name", "file_path", F.col("name").alias("import_text"))
+    targets = R.resolve_imports(imports, files).where("target IS NOT NULL").select("id", F.col("target").alias("path"))
+    edges = imports.select("id", "file_id", "repo_name").join(targets, "id").join(files.withColumnRenamed("file_id", "target_file"), ["repo_name", "path"])
+    return R.resolve_calls(calls, functions, edges.select("file_id", "target_file")).groupBy("layer", "status").agg(F.count("*").alias("n"))
 
 
 @query("type_bases")

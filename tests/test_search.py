@@ -200,3 +200,20 @@ def test_tools(spark):
     assert L.BufferingSink().consume(L.FakeRuntime("abc", 2)("p")) == "abc"
     files = spark.createDataFrame([("a/b.py", "1\n2\n3")], "path string, content string")
     assert L.read_file(files, "a/b.py", 2).first().text == "2\n3"
+
+
+def test_call_resolution_by_imports_and_repository(spark, tmp_path):
+    from tesserae.plans import evidence_queries
+
+    load = "def load(x):\n    return x\n"
+    rows = [(1, "a", "main.py", "from util import load\n\ndef run():\n    load(1)\n"), (2, "a", "util.py", load), (3, "a", "other.py", load), (4, "b", "only.py", "def fetch(x):\n    return x\n"), (5, "b", "use.py", "def go():\n    fetch(2)\n"), (6, "c", "else.py", "def fetch(x):\n    return x\n")]
+    spark.createDataFrame(rows, "file_id bigint, repo_name string, path string, content string").write.parquet(str(tmp_path / "file_info.parquet"))
+    got = {(r.layer, r.status): r.n for r in evidence_queries.call_resolution(spark, str(tmp_path)).collect()}
+    assert got == {("imported", "resolved"): 1, ("repository", "resolved"): 1}
+
+
+def test_calls_by_caller_namespace(spark):
+    calls = spark.createDataFrame([(1, 7, "a", "ns", "f()")], "id int, file_id int, repo_name string, scope string, callee string")
+    functions = spark.createDataFrame([(10, 8, "a", "f", "ns"), (11, 9, "a", "f", "other"), (12, 5, "b", "f", "ns")], "element_id int, file_id int, repo_name string, name string, parent_context string")
+    none = calls.select("file_id", "file_id").toDF("file_id", "target_file").limit(0)
+    assert [tuple(r) for r in R.resolve_calls(calls, functions, none).collect()] == [(1, "namespace", 10, "resolved")]
