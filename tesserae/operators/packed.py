@@ -9,8 +9,9 @@ operator explodes it into one row per value with its position.
    known once it was met in ``min_support`` places.
 2. *Automaton.* An Aho-Corasick automaton over the dictionary finds the known values
    in a field. The dictionary is put into an automaton and broadcast only when its
-   size is at most ``dictionary_rows``; a larger one is joined by hash with the
-   candidate spans of the fields, so that no task or driver holds it whole.
+   rows and characters are within bounds; a larger one is joined with the fields by the
+   first piece of its values and then by the whole values, whatever their length, so
+   that no task or driver holds it whole and the rows are the same.
 3. *Cover.* Dynamic programming picks the cheapest cover of the field by values and
    separators. Arcs are quoted values, plain values that run to the next separator
    outside a balanced pair of brackets, and known values; a quoted arc costs least,
@@ -26,13 +27,14 @@ strings of that list; an unclosed quote is an ordinary character.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.session import bounded_rows
+from tesserae.session import cut
 
 # Quotes with the character that closes each.
 QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’", "«": "»"}
@@ -40,6 +42,7 @@ QUOTES = {'"': '"', "'": "'", "`": "`", "“": "”", "‘": "’", "«": "»"}
 BRACKETS = {"(": ")", "[": "]", "<": ">"}
 # Characters that separate values outside quotes and brackets.
 SEPARATORS = ",;|\t\n\r，；¦、•｜·"
+_CLASS = SEPARATORS.replace("|", r"\|")
 
 
 def _separators(text: str) -> list[bool]:
@@ -199,9 +202,16 @@ def known_values(df: DataFrame, columns: list[str], min_support: int = 2) -> Dat
     return mined.groupBy("word").agg(F.sum("met").alias("met")).where(F.col("met") >= min_support)
 
 
-def _explode(words: list[str], keys: list[str], columns: list[str], schema: pa.Schema):
+#: Automata of this worker by the name of their dictionary, so that each is compiled once.
+_AUTOMATA: dict[str, Segmenter] = {}
+
+
+def _explode(words, name: str, keys: list[str], columns: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Segmenter(words)
+        if name not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[name] = Segmenter(words.value)
+        cutter = _AUTOMATA[name]
         for batch in batches:
             table = batch.to_pydict()
             out: dict[str, list] = {name: [] for name in schema.names}
@@ -244,53 +254,96 @@ def _explode_with_spans(keys: list[str], schema: pa.Schema):
     return run
 
 
-def _spans(most: int):
-    """Candidate whole values of a text: runs of 2 to ``most`` pieces between separators, with the separators."""
+def _heads(text: str) -> Iterator[tuple[int, list[int]]]:
+    """Places where a value may start, each with the places of the separators from there on and the end of the text."""
+    cuts = [i for i, m in enumerate(_separators(text)) if m]
+    ends = [*cuts, len(text)]
+    for k, begin in enumerate([0, *(i + 1 for i in cuts)]):
+        while begin < ends[k] and text[begin].isspace():
+            begin += 1
+        if begin < ends[k] and k < len(cuts):
+            yield begin, ends[k:]
+
+
+def _first_pieces(keys: list[str], schema: pa.Schema):
+    """The texts before a separator that begin a possible value, each once a field."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in schema.names}
+            table = batch.to_pydict()
+            for row, text in enumerate(table["text"]):
+                for piece in {text[begin : ends[0]] for begin, ends in _heads(text)}:
+                    for key in keys:
+                        out[key].append(table[key][row])
+                    out["piece"].append(piece)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return run
+
+
+def _spans(keys: list[str], schema: pa.Schema):
+    """Candidate whole values: from each start the spans with as many separators as known values of that first piece have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {name: [] for name in schema.names}
+            table = batch.to_pydict()
+            for row, text in enumerate(table["text"]):
+                numbers = {p["piece"]: p["numbers"] for p in table["pieces"][row]}
+                found = set()
+                for begin, ends in _heads(text):
+                    for n in numbers.get(text[begin : ends[0]], ()):
+                        if n < len(ends):
+                            last = ends[n - 1] + 1
+                            found.add(text[begin:last] + text[last : ends[n]].rstrip(" "))
+                for word in found:
+                    for key in keys:
+                        out[key].append(table[key][row])
+                    out["word"].append(word)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    @F.udf("array<string>")
-    def spans(text: str | None) -> list[str]:
-        if not text:
-            return []
-        marks = _separators(text)
-        cuts = [-1, *[i for i, m in enumerate(marks) if m], len(text)]
-        found = set()
-        for a in range(len(cuts) - 1):
-            for b in range(a + 1, min(a + most + 1, len(cuts))):
-                word = text[cuts[a] + 1 : cuts[b]].strip()
-                if b > a + 1 and word:
-                    found.add(word)
-                if b < len(cuts) - 1 and (tail := text[cuts[a] + 1 : cuts[b] + 1].strip()):
-                    found.add(tail)
-        return sorted(found)
+    return run
 
-    return spans
 
+def _matched(fields: DataFrame, key: str, kind: str, words: DataFrame, salts: int) -> DataFrame:
+    """``key, field_name, words``: the known values each field may hold, found by joins alone.
 
-def split_packed(df: DataFrame, key: str, columns: list[str], min_support: int = 2, dictionary_rows: int = 100_000, span_pieces: int = 6) -> DataFrame:
+    A known value begins with its first piece, and that piece knows how many separators such
+    values have; so a field proposes one span a start and number, and spans meet the
+    dictionary by equality. Both joins are salted by the field, since one piece or value may
+    stand in a third of the rows, and no dictionary side has a key twice.
+    """
+    salt = F.pmod(F.xxhash64(key, "field_name"), F.lit(salts)).cast("int")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    known = words.select("word", F.regexp_extract("word", f"^[^{_CLASS}]*", 0).alias("piece"), (F.size(F.split("word", f"[{_CLASS}]")) - 1).alias("n")).where("piece <> ''")
+    numbers = known.groupBy("piece").agg(F.collect_set("n").alias("numbers")).select("*", spread)
+    names, types = [key, "field_name"], [pa.field(key, _arrow(kind)), pa.field("field_name", pa.string())]
+    starts = fields.mapInArrow(_first_pieces(names, pa.schema([*types, pa.field("piece", pa.string())])), f"{key} {kind}, field_name string, piece string")
+    met = starts.withColumn("salt", salt).join(numbers, ["piece", "salt"]).groupBy(*names).agg(F.collect_list(F.struct("piece", "numbers")).alias("pieces"))
+    spans = fields.join(met, names).mapInArrow(_spans(names, pa.schema([*types, pa.field("word", pa.string())])), f"{key} {kind}, field_name string, word string")
+    return spans.withColumn("salt", salt).join(known.select("word", spread), ["word", "salt"]).groupBy(*names).agg(F.collect_list("word").alias("words"))
+
+
+def split_packed(df: DataFrame, key: str, columns: list[str], min_support: int = 2, dictionary_rows: int = 100_000, dictionary_chars: int = 50_000_000, salts: int = 16) -> DataFrame:
     """One row per value: ``key, field_name, item_pos, item_value``.
 
-    Each key comes out once even when its row is repeated. ``dictionary_rows`` bounds
-    what is broadcast; beyond it the dictionary stays distributed and is joined with the
-    candidate spans of the fields (runs of up to ``span_pieces`` pieces), which is the
-    length known values may have there.
+    Each key comes out once even when its row is repeated. ``dictionary_rows`` and
+    ``dictionary_chars`` bound what is broadcast; beyond either the dictionary stays
+    distributed and is joined with the fields, which gives the same rows.
     """
     rows = df.select(key, *columns).dropDuplicates([key])
-    found = known_values(df, columns, min_support)
-    bound = bounded_rows(found.select("word"), dictionary_rows)
-    spark_key = df.schema[key].dataType.simpleString()
-    ddl = f"{key} {spark_key}, field_name string, item_pos int, item_value string"
-    schema = pa.schema([(key, _arrow(spark_key)), ("field_name", pa.string()), ("item_pos", pa.int32()), ("item_value", pa.string())])
-    if bound is not None:
-        return rows.mapInArrow(_explode(sorted(r[0] for r in bound), [key], columns, schema), ddl)
+    found = cut(known_values(df, columns, min_support).select("word"))
+    size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    kind = df.schema[key].dataType.simpleString()
+    ddl = f"{key} {kind}, field_name string, item_pos int, item_value string"
+    schema = pa.schema([(key, _arrow(kind)), ("field_name", pa.string()), ("item_pos", pa.int32()), ("item_value", pa.string())])
+    if size[0] <= dictionary_rows and size[1] <= dictionary_chars:
+        words = df.sparkSession.sparkContext.broadcast(sorted(r[0] for r in found.collect()))
+        return rows.mapInArrow(_explode(words, uuid.uuid4().hex, [key], columns, schema), ddl)
     texts: Column = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in columns]))
     fields = rows.select(key, texts.alias("f")).select(key, "f.field_name", "f.text").where(F.col("text").isNotNull())
-    hits = (
-        fields.select(key, "field_name", F.explode(_spans(span_pieces)("text")).alias("word"))
-        .join(found.select("word"), "word")
-        .groupBy(key, "field_name")
-        .agg(F.collect_list("word").alias("words"))
-    )
-    return fields.join(hits, [key, "field_name"], "left").mapInArrow(_explode_with_spans([key], schema), ddl)
+    return fields.join(_matched(fields, key, kind, found, salts), [key, "field_name"], "left").mapInArrow(_explode_with_spans([key], schema), ddl)
 
 
 def _arrow(simple: str) -> pa.DataType:

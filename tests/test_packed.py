@@ -43,5 +43,16 @@ def test_operator_and_large_dictionary_agree(spark):
     assert {r[0] for r in small} == {1, 2, 3, 7}
 
 
+@pytest.mark.parametrize("pieces", [2, 8, 40])
+def test_long_known_values_are_the_same_beyond_the_bound(spark, pieces):
+    value = ",".join(f"v{i} " if i % 3 == 1 else f"v{i}" for i in range(pieces)).strip()
+    rows = [(1, f'"{value}"|a'), (2, f"'{value}';b"), (3, f"{value}  ;c"), (4, f"x, {value},y"), (5, f"{value[:-1]}z|d"), (6, f" {value}"), (7, f"{value},{value}"), (8, '"tail,"|x'), (9, "'tail,'"), (10, "tail, ;z"), (11, "tail, z")]
+    df = spark.createDataFrame(rows, "row_id bigint, c6 string")
+    small = sorted(map(tuple, split_packed(df, "row_id", ["c6"]).collect()))
+    assert small == sorted(map(tuple, split_packed(df, "row_id", ["c6"], dictionary_rows=0, salts=3).collect()))
+    assert small == sorted(map(tuple, split_packed(df, "row_id", ["c6"], dictionary_chars=1).collect()))
+    assert (3, "c6", 0, value) in small and (4, "c6", 1, value) in small and sum(r[0] == 7 for r in small) == 2
+
+
 def test_empty_table(spark):
     assert split_packed(spark.createDataFrame([], "row_id bigint, c6 string"), "row_id", ["c6"]).count() == 0
