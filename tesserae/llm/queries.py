@@ -73,7 +73,7 @@ final AS (
 """
 
 
-_FIRST = "c AS (SELECT *, round((median_place + mean_place) / 2, 6) AS combined FROM final), f AS (SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY combined, mean_place, element_id) AS r FROM c)"
+_FIRST = "f AS (SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY median_place, mean_place, element_id) AS r FROM final)"
 
 
 @query("p6_found", _RANKED + ", " + _FIRST + " SELECT query_id, element_id FROM f WHERE r = 1 AND query_id IN (SELECT query_id FROM hybrid_search_options)")
@@ -84,7 +84,7 @@ def p6_found(spark, d):
 @query("p6_ranking", _RANKED + " SELECT query_id, element_id, round(median_place, 4) AS median_place, round(mean_place, 4) AS mean_place FROM final")
 def p6_ranking(spark, d):
     ranked = ranking.median_rank(table(spark, d, "primary_search_results"), table(spark, d, "scored_candidates"), table(spark, d, "hybrid_search_options"))
-    return ranked.select("query_id", "element_id", *[F.round(F.round(c, 6), 4).alias(c) for c in ("median_place", "mean_place")])
+    return ranked.select("query_id", "element_id", *[F.round(c, 4).alias(c) for c in ("median_place", "mean_place")])
 
 
 @query("p7_ids")

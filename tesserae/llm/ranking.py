@@ -1,18 +1,18 @@
 """One ranking from several differently-scaled scores: weighted median rank aggregation.
 
-Every candidate gets its rank in each score among the candidates of its query (higher
+Every candidate gets its place in each score among the candidates of its query (higher
 scores first, equal scores share the mean of their places), which frees the scores of
-their scales. The lexical score weighs ``alpha``, the others share the rest. A plain
-weighted median obeys the lexical score alone as soon as ``alpha`` reaches one half, which
-is no combination; so the median is interpolated between the steps of the weights, and
-candidates are ordered by the mean of that median and the weighted mean rank, then by the
-mean rank, then by identifier.
-
-A query may hold a third of all rows. Ranks are therefore counted in bands: each query's
-scores are parted at approximate quantiles into bands of about ``band_rows`` rows, a
-window ranks within a band, and the bands' counts give the offset. Equal scores fall into
-one band, so the ranks are exact however the bands fall; the pre-aggregated distinct
-scores of a band are what a task sorts.
+their scales. The lexical score weighs ``alpha``, the others share the rest. Candidates are
+ordered by the weighted median of their places, then by the weighted mean place, then by
+identifier. A weighted median that only picks one of three places obeys the lexical score
+alone as soon as ``alpha`` reaches one half; so the median is interpolated, as medians of
+grouped data are: each place stands at the middle of its weight, and the median is read
+where one half of the weight is reached.
+
+A query may hold a third of all rows. Queries of at least ``hot_rows`` rows and of at least
+a thousandth of all rows, which are a thousand at most, go another way with the same
+result: their distinct scores are parted by range over the tasks, counted within a part,
+and the parts' counts give the offset; scores that many rows share are broadcast to them.
 
 Defined results: a null, NaN or absent score counts as 0; ``alpha`` null means 0.5 and is
 clamped to [0, 1]; repeated candidates count once with their greatest scores; a query
@@ -24,55 +24,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import bounded_rows, cut
+
+SCORES = ("lexical", "semantic", "rrf")
+IDS = ("query_id", "element_id")
+#: Rows from which a query, and a score within a query, is treated as hot where that is also a thousandth of all rows.
+HOT_ROWS = 1_000_000
+
 
 def _number(name: str) -> Column:
     c = F.col(name).cast("double")
     return F.when(c.isNull() | F.isnan(c), 0.0).otherwise(c)
 
 
-def exact_ranks(df: DataFrame, group: str, item: str, scores: list[str], band_rows: int = 200_000) -> DataFrame:
-    """``group, item, score_name, place``: the mean place of each item in each score, largest first."""
-    long = df.select(group, item, F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in scores])).alias("s")).select(group, item, "s.*")
-    values = long.groupBy(group, "score_name", "score").agg(F.count("*").alias("n"))
-    # pre-aggregated to distinct scores; the points part only groups beyond one band
-    bands = values.groupBy(group, "score_name").agg(
-        F.sum("n").alias("all_n"), F.percentile_approx("score", [i / 64 for i in range(1, 64)], F.lit(1000)).alias("points")
-    )
-    banded = values.join(bands, [group, "score_name"]).withColumn(
-        "band", F.when(F.col("all_n") <= band_rows, 0).otherwise(F.size(F.filter("points", lambda p: p < F.col("score"))))
-    ).drop("points", "all_n")
-    above = banded.groupBy(group, "score_name", "band").agg(F.sum("n").alias("band_n"))
-    above = above.select(
-        group, "score_name", "band",
-        F.coalesce(F.sum("band_n").over(Window.partitionBy(group, "score_name").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+def window_places(scored: DataFrame, scores: tuple[str, ...] = SCORES) -> DataFrame:
+    """Adds ``place_s`` for each score ``s``: all windows share the one shuffle by query."""
+    for s in scores:
+        own = Window.partitionBy("query_id").orderBy(F.desc(s))
+        last = F.round(F.cume_dist().over(own) * F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+        scored = scored.withColumn(f"place_{s}", (F.rank().over(own) + last) / 2)
+    return scored
+
+
+def ranged_places(scored: DataFrame, least: int, scores: tuple[str, ...] = SCORES) -> DataFrame:
+    """As ``window_places`` for queries of any size: no task sees all rows of a query or of a score.
+
+    ``least`` is the number of rows from which a score is broadcast with its place; at most
+    ``len(scores)`` times the rows over ``least`` scores can have so many.
+    """
+    keys = ["query_id", "score_name", "score"]
+    listed = F.explode(F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in scores]))
+    long = scored.select(*IDS, listed.alias("s")).select(*IDS, "s.*")
+    values = long.groupBy(*keys).agg(F.count("*").alias("n"))
+    parted = cut(values.repartitionByRange("query_id", "score_name", F.desc("score")).withColumn("part", F.spark_partition_id()))
+    per = parted.groupBy("query_id", "score_name", "part").agg(F.sum("n").alias("part_n"))
+    before = F.sum("part_n").over(Window.partitionBy("query_id", "score_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # a query and score for each of the hot queries, and one more for each task: never many
+    offsets = F.broadcast(per.select("query_id", "score_name", "part", F.coalesce(before, F.lit(0)).alias("before")))
+    inside = F.sum("n").over(Window.partitionBy("query_id", "score_name", "part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
+    placed = cut(
+        parted.withColumn("own", F.coalesce(inside, F.lit(0))).join(offsets, ["query_id", "score_name", "part"])
+        .select(*keys, "n", (F.col("before") + F.col("own") + (F.col("n") + 1) / 2).alias("place"))
     )
-    inside = Window.partitionBy(group, "score_name", "band").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        banded.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(above, [group, "score_name", "band"])
-        .select(group, "score_name", "score", (F.col("before") + F.col("own") + (F.col("n") + 1) / 2).alias("place"))
-    )
-    return long.join(placed, [group, "score_name", "score"]).select(group, item, "score_name", "place")
+    frequent = F.broadcast(placed.where(F.col("n") >= least).drop("n"))
+    rest = long.join(frequent, keys, "left_anti").join(placed.where(F.col("n") < least).drop("n"), keys)
+    both = long.join(frequent, keys).unionByName(rest)
+    return both.groupBy(*IDS).agg(*[F.max(F.when(F.col("score_name") == s, F.col("place"))).alias(f"place_{s}") for s in scores])
 
 
-def median_rank(candidates: DataFrame, others: DataFrame, options: DataFrame) -> DataFrame:
-    """``query_id, element_id, median_place, mean_place, combined_place`` of every candidate."""
-    ids = ["query_id", "element_id"]
-    main = candidates.select(*ids, _number("lexical_score").alias("lexical"), _number("semantic_score").alias("semantic"))
-    main = main.groupBy(*ids).agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"))
-    side = others.select(*ids, _number("rrf_score").alias("rrf")).groupBy(*ids).agg(F.max("rrf").alias("rrf"))
-    scored = main.join(side, ids, "left").fillna(0.0, ["rrf"])
-    alpha = options.groupBy("query_id").agg(F.max("alpha").alias("alpha"))
-    ranks = exact_ranks(scored, "query_id", "element_id", ["lexical", "semantic", "rrf"]).join(alpha, "query_id", "left")
-    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("alpha").isNull() | F.isnan("alpha"), 0.5).otherwise(F.col("alpha"))))
-    weight = F.when(F.col("score_name") == "lexical", a).otherwise((1 - a) / 2)
-    sorted_places = F.array_sort(F.collect_list(F.struct("place", "weight")))
-    folded = ranks.withColumn("weight", weight).groupBy(*ids).agg(sorted_places.alias("p"), F.sum(F.col("place") * F.col("weight")).alias("mean_place"))
-    # the weighted median, interpolated between the midpoints of the weights' steps
-    zero = F.lit(0.0)
-    median = F.aggregate(
-        "p",
-        F.struct(zero.alias("w"), F.lit(None).cast("double").alias("mid"), zero.alias("at"), F.lit(None).cast("double").alias("m")),
+def _median(places: list[Column], weights: list[Column]) -> Column:
+    """The weighted median of a few places, interpolated between the middles of their weights."""
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    return F.aggregate(
+        F.array_sort(F.array(*[F.struct(p.alias("place"), w.alias("weight")) for p, w in zip(places, weights, strict=True)])),
+        F.struct(zero.alias("w"), none.alias("mid"), zero.alias("at"), none.alias("m")),
         lambda s, x: F.struct(
             (s["w"] + x["weight"]).alias("w"),
             (s["w"] + x["weight"] / 2).alias("mid"),
@@ -84,13 +89,30 @@ def median_rank(candidates: DataFrame, others: DataFrame, options: DataFrame) ->
         ),
         lambda s: F.coalesce(s["m"], s["at"]),
     )
-    return folded.select(*ids, F.round(median, 9).alias("median_place"), F.round("mean_place", 9).alias("mean_place")).withColumn(
-        "combined_place", F.round((F.col("median_place") + F.col("mean_place")) / 2, 9)
-    )
 
 
-def first_candidates(candidates: DataFrame, others: DataFrame, options: DataFrame) -> DataFrame:
+def median_rank(candidates: DataFrame, others: DataFrame, options: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``query_id, element_id, median_place, mean_place`` of every candidate."""
+    main = candidates.select(*IDS, _number("lexical_score").alias("lexical"), _number("semantic_score").alias("semantic"))
+    main = main.groupBy(*IDS).agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"))
+    side = others.select(*IDS, _number("rrf_score").alias("rrf")).groupBy(*IDS).agg(F.max("rrf").alias("rrf"))
+    scored = main.join(side, list(IDS), "left").fillna(0.0, ["rrf"])
+    alpha = options.groupBy("query_id").agg(F.max("alpha").alias("alpha"))
+    least = max(hot_rows, candidates.count() // 1000)
+    hot = [r[0] for r in bounded_rows(candidates.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("query_id"), 1_000_000)]
+    cold = scored.where(~F.col("query_id").isin(hot)) if hot else scored
+    placed = window_places(cold).select(*IDS, *[f"place_{s}" for s in SCORES]).join(alpha, "query_id", "left")
+    if hot:
+        own = F.col("query_id").isin(hot)
+        placed = placed.unionByName(ranged_places(cut(scored.where(own)), least).join(F.broadcast(alpha.where(own)), "query_id", "left"))
+    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("alpha").isNull() | F.isnan("alpha"), 0.5).otherwise(F.col("alpha"))))
+    places, weights = [F.col(f"place_{s}") for s in SCORES], [a, (1 - a) / 2, (1 - a) / 2]
+    mean = sum((p * w for p, w in zip(places, weights, strict=True)), F.lit(0.0))
+    return placed.select(*IDS, F.round(_median(places, weights), 6).alias("median_place"), F.round(mean, 6).alias("mean_place"))
+
+
+def first_candidates(candidates: DataFrame, others: DataFrame, options: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first candidate of each query with options: ``query_id, element_id``."""
-    ranked = median_rank(candidates, others, options)
-    best = ranked.groupBy("query_id").agg(F.min_by("element_id", F.struct("combined_place", "mean_place", "element_id")).alias("element_id"))
+    ranked = median_rank(candidates, others, options, hot_rows)
+    best = ranked.groupBy("query_id").agg(F.min_by("element_id", F.struct("median_place", "mean_place", "element_id")).alias("element_id"))
     return best.join(options.select("query_id").distinct(), "query_id", "left_semi")

@@ -105,15 +105,28 @@ def test_ranking_is_not_ruled_by_range(spark):
     assert sorted(map(tuple, ranking.first_candidates(*_rank_rows(spark)).collect())) == [(1, 2), (2, 7)]
 
 
-def test_bands_do_not_change_ranks(spark):
+def test_hot_queries_get_the_same_places(spark):
     random.seed(6)
-    rows = [(1, i, float(random.randint(0, 60))) for i in range(400)]
-    df = spark.createDataFrame(rows, "g bigint, i bigint, s double")
-    one = sorted(map(tuple, ranking.exact_ranks(df, "g", "i", ["s"]).collect()))
-    many = sorted(map(tuple, ranking.exact_ranks(df, "g", "i", ["s"], band_rows=10).collect()))
-    values = [r[2] for r in rows]
-    assert one == many
-    assert all(place == sum(v > rows[i][2] for v in values) + (sum(v == rows[i][2] for v in values) + 1) / 2 for _, i, _, place in one)
+    rows = [(q, i, float(random.randint(0, 60)), float(random.randint(0, 2)), random.random()) for q in (1, 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "query_id bigint, element_id bigint, lexical double, semantic double, rrf double")
+    columns = ["query_id", "element_id", "place_lexical", "place_semantic", "place_rrf"]
+    one = sorted(map(tuple, ranking.window_places(df).select(columns).collect()))
+    assert one == sorted(map(tuple, ranking.ranged_places(df, 100).select(columns).collect()))
+    for q, i, *places in one:
+        own = [r for r in rows if r[0] == q]
+        me = next(r for r in own if r[1] == i)
+        for k, place in enumerate(places, 2):
+            assert place == sum(r[k] > me[k] for r in own) + (sum(r[k] == me[k] for r in own) + 1) / 2
+
+
+def test_ranking_order_and_hot_path(spark):
+    frames = _rank_rows(spark)
+    one = sorted(map(tuple, ranking.median_rank(*frames).collect()))
+    assert one == sorted(map(tuple, ranking.median_rank(*frames, hot_rows=1).collect()))
+    # places of element 2 are 2, 1 and 1 with weights 0.5, 0.25 and 0.25: half of the weight is reached two thirds of the way from 1 to 2
+    assert next(r for r in one if r[:2] == (1, 2)) == (1, 2, round(1 + 1 / 3, 6), 1.5)
+    assert sorted(map(tuple, ranking.first_candidates(*frames, hot_rows=1).collect())) == [(1, 2), (2, 7)]
+    assert ranking.first_candidates(frames[0].limit(0), frames[1], frames[2]).count() == 0
 
 
 def _brute_share(text, least):
