@@ -163,7 +163,7 @@ class Transducer:
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = pretoken_starts(codes, doc_ends)
         ends = np.append(starts[1:], len(codes))
-        _, first, kind = np.unique(_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        first, kind = distinct(_hashes(codes, starts, ends))
         found = [self.pretoken(joined[starts[k] : ends[k]].encode("utf-8", "replace")) for k in first]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((t for f in found for t in f), np.int32, int(lengths.sum()))
@@ -228,7 +228,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 128-bit hash per pre-token as bytes, from polynomials over the mixed code points."""
+    """One 128-bit hash per pre-token as two numbers, from sums over the mixed code points."""
     out = np.empty((len(starts), 2), np.uint64)
     spot = np.arange(len(codes), dtype=np.int64) - np.repeat(starts, ends - starts)
     for k, odd in enumerate(_ODD):
@@ -240,8 +240,22 @@ def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
             x *= np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
             out[:, k] = np.add.reduceat(x, starts)
-    with np.errstate(over="ignore"):
-        return out[:, 0] ^ (out[:, 1] * np.uint64(0xFF51AFD7ED558CCD))
+    return out
+
+
+def distinct(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair of numbers is met first, and the number of the pair in each row."""
+    order = np.argsort(hashed[:, 0], kind="stable")
+    left, right = hashed[order].T
+    fresh = left[1:] != left[:-1]
+    if (~fresh & (right[1:] != right[:-1])).any():
+        order = np.lexsort((hashed[:, 1], hashed[:, 0]))
+        left, right = hashed[order].T
+        fresh = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    fresh = np.append(np.ones(min(1, len(order)), bool), fresh)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    return order[fresh], kind
 
 
 @functools.lru_cache(2)

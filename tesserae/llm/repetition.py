@@ -47,7 +47,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts end to end: each word's number, document, place in its text, and whether its script is unspaced."""
-    from tesserae.llm.bpe import _hashes
+    from tesserae.llm.bpe import _hashes, distinct
 
     kinds, lower = _tables()
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -61,7 +61,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     hashed = _hashes(lower[codes], starts, stops)
     own = kind[starts] > 0
     starts = starts[own]
-    _, number = np.unique(hashed[own], return_inverse=True)
+    number = distinct(hashed[own])[1]
     doc = np.searchsorted(ends, starts, "right")
     return number, doc, starts - np.append(0, ends)[doc], kind[starts] == 2
 

@@ -8,8 +8,10 @@ also lets the next piece begin at a word when it steps back by the overlap; fail
 at a natural place with a hard begin; failing that it is cut hard at the limit.
 
 Defined results: a null text gives no pieces, a text within the limit one piece, an empty
-one a single empty piece; line ends stay as they are and a CR LF is never cut apart;
-repeated rows of an id come out once.
+one a single empty piece; an item of a kind without a limit is one piece; line ends stay
+as they are, and a CR LF is not cut apart (the overlap is one longer there) unless a piece
+has no other room; an overlap that is no less than the limit is an error; repeated rows of
+an id come out once.
 """
 
 from __future__ import annotations
@@ -43,12 +45,16 @@ def natural_places(text: str) -> list[np.ndarray]:
 
 
 def cut_points(text: str, limit: int, overlap: int, sums: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Begin and end of each piece. ``sums[i]`` is the size of ``text[:i]``; by default its characters."""
+    """Begin and end of each piece. ``sums[i]`` is the size of ``text[:i]``; by default its characters.
+
+    Raises where the overlap leaves no room for anything new in a piece.
+    """
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError(f"no pieces of at most {limit} with an overlap of {overlap}")
     n = len(text)
     sums = np.arange(n + 1) if sums is None else sums
     if sums[n] <= limit:
         return [(0, n)]
-    overlap = min(overlap, limit // 2)
     kinds = natural_places(text)
     words = np.zeros(n + 1, bool)
     words[kinds[-1]] = words[0] = True
@@ -66,7 +72,7 @@ def cut_points(text: str, limit: int, overlap: int, sums: np.ndarray | None = No
                 end = int(places[k])
                 break
         if not end:
-            end = last - (last - begin > 1 and text[last - 1] == "\r" and text[last : last + 1] == "\n")
+            end = last - (last > least and text[last - 1] == "\r" and text[last : last + 1] == "\n")
         pieces.append((begin, end))
         begin = max(begin + 1, int(back[end]))
         if text[begin - 1 : begin + 1] == "\r\n" and begin - 1 > pieces[-1][0]:
@@ -79,7 +85,7 @@ def _limits(limits: DataFrame) -> dict[str, tuple[int, int]]:
     rows = bounded_rows(limits.select("item_kind", "max_size", "overlap_size"), 100)
     if rows is None:
         raise ValueError("size_limits is no small table")
-    return {r[0]: (int(r[1]), int(r[2] or 0)) for r in rows}
+    return {r[0]: (int(r[1]), int(r[2] or 0)) for r in rows if r[1] is not None}
 
 
 SCHEMA = pa.schema([("item_kind", pa.string()), ("item_id", pa.int64()), ("piece_no", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("n_pieces", pa.int32()), ("text", pa.string())])
@@ -93,11 +99,9 @@ def split_items(items: DataFrame, limits: DataFrame, only_over: bool = False) ->
         for batch in batches:
             out: list[tuple] = []
             for kind, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text is None or kind not in sizes:
-                    continue
-                if only_over and len(text) <= sizes[kind][0]:
+                if text is None or (only_over and (kind not in sizes or len(text) <= sizes[kind][0])):
                     continue
-                pieces = cut_points(text, *sizes[kind])
+                pieces = cut_points(text, *sizes[kind]) if kind in sizes else [(0, len(text))]
                 out += [(kind, item, k, a, b, len(pieces), text[a:b]) for k, (a, b) in enumerate(pieces)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(SCHEMA)], schema=SCHEMA)
 

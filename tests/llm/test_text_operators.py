@@ -86,6 +86,35 @@ def test_pieces_end_at_words_and_other_units_work():
     assert all(sums[b] - sums[a] <= 200 for a, b in splitting.cut_points(text, 200, 20, sums))
 
 
+def test_overlap_is_whole_or_an_error():
+    rng = random.Random(9)
+    for limit, overlap in ((20, 15), (20, 19), (7, 3), (1, 0), (50, 49)):
+        for _ in range(20):
+            text = "".join(rng.choice(["ab", " ", "\r\n", ". ", "x", "\n\n"]) for _ in range(120))
+            pieces = splitting.cut_points(text, limit, overlap)
+            assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
+            for (a, b), (c, _) in zip(pieces, pieces[1:]):
+                assert b - a <= limit and a < c and b - c in (overlap, overlap + 1)
+                assert b - c == overlap or text[c - 1 : c + 1] != "\r\n"
+    for overlap in (20, 25, -1):
+        with pytest.raises(ValueError):
+            splitting.cut_points("x" * 100, 20, overlap)
+
+
+def test_kinds_without_a_limit_stay_whole(spark):
+    limits = spark.createDataFrame([("excerpt", 5, None), ("note", None, 3)], "item_kind string, max_size int, overlap_size int")
+    items = spark.createDataFrame([("excerpt", 1, "abcdefg"), ("other", 2, "abcdefghij"), ("note", 3, "abcdefghij")], "item_kind string, item_id bigint, text string")
+    assert sorted((r.item_id, r.char_start, r.char_end) for r in splitting.split_items(items, limits).collect()) == [(1, 0, 5), (1, 5, 7), (2, 0, 10), (3, 0, 10)]
+    assert {r.item_id for r in splitting.split_items(items, limits, only_over=True).collect()} == {1}
+
+
+def test_distinct_tells_hashes_apart_by_both_halves():
+    pairs = np.array([[1, 2], [1, 3], [0, 5], [1, 2], [0, 5]], np.uint64)
+    first, kind = bpe.distinct(pairs)
+    assert (pairs[first][kind] == pairs).all() and len(first) == 3
+    assert len(bpe.distinct(pairs[:0])[0]) == 0
+
+
 def test_oversized_counts_code_points(spark):
     limits = spark.createDataFrame([("excerpt", 5, 1), ("window", 3, 0)], "item_kind string, max_size int, overlap_size int")
     excerpts = spark.createDataFrame([(1, "😀" * 5), (2, "abcdef"), (2, "abcdef"), (3, None), (4, "")], "excerpt_id bigint, text string")
