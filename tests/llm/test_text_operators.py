@@ -59,6 +59,29 @@ def test_best_fit_respects_every_constraint():
     assert len(np.unique(free)) <= 1.03 * -(-sizes.sum() // 100)
 
 
+def test_each_capacity_binds():
+    sizes = np.array([50, 50, 40, 40, 10, 10, 0, 0])
+    used = lambda found, sizes=sizes: sorted(tuple(sorted(sizes[found == k].tolist())) for k in np.unique(found))
+    assert sorted(map(sum, used(packing.best_fit(sizes, 100, 8, 1e4)))) == [100, 100]
+    assert max(map(len, used(packing.best_fit(sizes, 100, 2, 1e4)))) == 2 and len(used(packing.best_fit(sizes, 100, 2, 1e4))) == 4
+    assert all(sum(x * x for x in own) <= 4300 for own in used(packing.best_fit(sizes, 100, 8, 4300.0))) and (50, 50) not in used(packing.best_fit(sizes, 100, 8, 4300.0))
+    # dearer than the bound: alone but for empty items
+    dear = np.array([80, 18, 10, 0])
+    assert used(packing.best_fit(dear, 100, 8, 1000.0), dear) in ([(0, 80), (10, 18)], [(0, 10, 18), (80,)])
+
+
+def test_production_capacities_bind(spark):
+    rng = random.Random(11)
+    df = spark.createDataFrame([(i, rng.choice([700, 900, 1300])) for i in range(40)] + [(1000 + i, 3 * (i % 2)) for i in range(4000)], "doc_id bigint, n_tokens bigint")
+    own = {}
+    for r in packing.pack(df, "doc_id", 2048).collect():
+        own.setdefault(r.container_id, []).append(r.n_tokens)
+    cap = packing.COST_SHARE * 2048**2
+    assert all(sum(v) <= 2048 and len(v) <= packing.MAX_DOCUMENTS and sum(x * x for x in v) <= cap for v in own.values())
+    loose = packing.pack(df, "doc_id", 2048, max_documents=10_000, cost_share=1.0).select("container_id").distinct().count()
+    assert len(own) > loose and max(map(len, own.values())) == packing.MAX_DOCUMENTS
+
+
 def test_pack_cuts_only_what_does_not_fit(spark):
     df = spark.createDataFrame([(1, 250), (2, 100), (3, 0), (4, 60), (4, 60), (5, 40)], "doc_id bigint, n_tokens bigint")
     rows = packing.pack(df, "doc_id", 100).collect()
