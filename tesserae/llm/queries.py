@@ -123,7 +123,7 @@ def p9_found(spark, d):
 
 @query("p9_shares")
 def p9_shares(spark, d):
-    return repetition.repetition(table(spark, d, "documents")).withColumn("repeated_share", F.round("repeated_share", 6))
+    return repetition.repetition(table(spark, d, "documents")).withColumn("repeated_share", F.round("repeated_share", 6)).withColumn("longest_share", F.round("longest_share", 6))
 
 
 @query("p1_found")

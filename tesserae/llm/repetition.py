@@ -1,15 +1,19 @@
 """Repetition inside a single document by suffix arrays.
 
 A text is read as its words in lower case; blanks, punctuation and numbers only part them,
-and each character of a script written without blanks is a word. For a batch of texts a
-suffix array is built by prefix doubling, never across texts, and the longest common
-prefixes of neighbouring suffixes follow from the ranks of the doubling steps. An interval
-of the array whose prefixes have at least ``min_words`` words holds the occurrences of a
-repeated passage; all but its first occurrence are marked, and the union of the marked
-spans, measured in characters of the text, is the repeated share.
-
-Defined results: null, empty and blank texts have share 0 and no repeat; repeated rows of
-an id come out once.
+and each character of a script written without blanks is a word. Only where a text has next
+to no words are its numbers words. For a batch of texts a suffix array is built by prefix
+doubling, never across texts, and the longest common prefixes of neighbouring suffixes
+follow from the ranks of the doubling steps. An interval of the array whose prefixes have
+at least ``min_words`` words holds the occurrences of a repeated passage. A shorter passage,
+down to ``short_words`` words, is no mere turn of phrase where it occurs at least
+``short_times`` times and makes up ``short_share`` of all words. All but the first
+occurrence of a passage are marked, and the union of the marked spans, measured in
+characters of the text, is the repeated share. Both that share and the longest repeat, as a
+share of the words, are limited.
+
+Defined results: null, empty and blank texts, and texts of punctuation alone, have share 0
+and no repeat; repeated rows of an id come out once.
 """
 
 from __future__ import annotations
@@ -24,19 +28,24 @@ from pyspark.sql import functions as F
 
 #: Words a passage must have at least to count as a repeat; twice as many characters of unspaced scripts.
 MIN_WORDS = 8
-#: Share of the text from which a document counts as repetitive.
-LIMIT = 0.4
+#: Words a short passage must have at least, its least number of occurrences and its least share of the words of the text.
+SHORT_WORDS, SHORT_TIMES, SHORT_SHARE = 3, 10, 0.1
+#: Numbers for each word from which on numbers are words themselves.
+NUMBERS_A_WORD = 10
+#: Share of the text that repeats, and share of the words in the longest repeat, from which a document counts as repetitive.
+LIMIT, LONGEST_LIMIT = 0.4, 0.5
 STEP_CHARS = 500_000
+MEASURES = ("repeated_share", "longest_repeat", "longest_share")
 
 
 @functools.lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Kind of each code point (0 parts words, 1 in a word, 2 a word of its own) and its lower case."""
+    """Kind of each code point (0 parts words, 1 in a word, 2 a word of its own, 3 in a number) and its lower case."""
     import regex
 
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     kind = np.zeros(0x110000, np.uint8)
-    for number, pattern in ((1, r"[\p{L}\p{M}]"), (2, r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}ー々]")):
+    for number, pattern in ((1, r"[\p{L}\p{M}]"), (2, r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}ー々]"), (3, r"\p{N}")):
         kind[np.frombuffer("".join(regex.findall(pattern, every)).encode("utf-32-le"), np.uint32)] = number
     lower = np.arange(0x110000, dtype=np.uint32)
     for c in regex.findall(r"[\p{Lu}\p{Lt}]", every):
@@ -59,10 +68,11 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     starts = np.flatnonzero(edge)[:-1]
     stops = np.append(starts[1:], len(codes))
     hashed = _hashes(lower[codes], starts, stops)
-    own = kind[starts] > 0
-    starts = starts[own]
+    doc, sort = np.searchsorted(ends, starts, "right"), kind[starts]
+    letters, numbers = (np.bincount(doc[k], minlength=len(texts)) for k in ((sort == 1) | (sort == 2), sort == 3))
+    own = (sort > 0) & ((sort < 3) | (numbers >= NUMBERS_A_WORD * letters)[doc])
+    starts, doc = starts[own], doc[own]
     number = distinct(hashed[own])[1]
-    doc = np.searchsorted(ends, starts, "right")
     return number, doc, starts - np.append(0, ends)[doc], kind[starts] == 2
 
 
@@ -111,52 +121,62 @@ def suffix_array(number: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nd
     return array, shared
 
 
-def repeated(texts: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def repeated(texts: list[str], min_words: int = MIN_WORDS, short_words: int = SHORT_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """For each text the share of it that repeats earlier text, and the words of its longest repeat."""
+    return measures(texts, min_words, short_words)[:2]
+
+
+def measures(texts: list[str], min_words: int = MIN_WORDS, short_words: int = SHORT_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``repeated``, with the share of the words in the longest repeat, 0 where that is too short to count."""
     share, longest = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     number, doc, place, unspaced = words_of(texts)
     n = len(number)
     if not n:
-        return share, longest
+        return share, longest, share
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     words = np.bincount(doc, minlength=len(texts))
-    least = np.where(np.bincount(doc, unspaced, len(texts)) * 2 > words, 2 * min_words, min_words)
+    scale = np.where(np.bincount(doc, unspaced, len(texts)) * 2 > words, 2, 1)
     array, shared = suffix_array(number, doc)
     np.maximum.at(longest, doc[array], shared)
-    joined = shared >= least[doc[array]]
-    interval = np.cumsum(~joined)
-    first = np.full(interval[-1] + 1, n, np.int64)
-    np.minimum.at(first, interval, array)
-    inside = joined | np.append(joined[1:], False)
-    again = array[inside & (array != first[interval])]
-    cover = np.bincount(again, minlength=n + 1) - np.bincount(np.minimum(again + least[doc[again]], n), minlength=n + 1)
+    cover = np.zeros(n + 1)
+    for size in (min_words, *range(short_words, min_words)):
+        least = (size * scale)[doc[array]]
+        joined = shared >= least
+        interval = np.cumsum(~joined)
+        first = np.full(interval[-1] + 1, n, np.int64)
+        np.minimum.at(first, interval, array)
+        inside = joined | np.append(joined[1:], False)
+        if size < min_words:
+            times = np.bincount(interval[inside], minlength=interval[-1] + 1)[interval]
+            inside &= (times >= SHORT_TIMES) & (times * least >= SHORT_SHARE * words[doc[array]])
+        again = array[inside & (array != first[interval])]
+        cover += np.bincount(again, minlength=n + 1) - np.bincount(np.minimum(again + (size * scale)[doc[again]], n), minlength=n + 1)
     marked = np.cumsum(cover)[:n] > 0
     last = np.append(doc[1:] != doc[:-1], True)
     weight = np.where(last, sizes[doc], np.append(place[1:], 0)) - place
     total = np.bincount(doc, weight, len(texts))
-    return np.bincount(doc, weight * marked, len(texts)) / np.maximum(total, 1), longest
+    part = np.where(longest >= min_words * scale, longest / np.maximum(words, 1), 0.0)
+    return np.bincount(doc, weight * marked, len(texts)) / np.maximum(total, 1), longest, part
 
 
 def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``key, repeated_share, longest_repeat`` (in words) of each document."""
+    """``key, repeated_share, longest_repeat`` (in words) and ``longest_share`` (of the words) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, begin, size = [t or "" for t in batch.column(1).to_pylist()], 0, 0
-            shares, lengths = [np.zeros(0)], [np.zeros(0, np.int64)]
+            found = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0))]
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= STEP_CHARS or i == len(texts) - 1:
-                    a, b = repeated(texts[begin : i + 1], min_words)
-                    shares.append(a)
-                    lengths.append(b)
+                    found.append(measures(texts[begin : i + 1], min_words))
                     begin, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(shares)), pa.array(np.concatenate(lengths))], [key, "repeated_share", "longest_repeat"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], [key, *MEASURES])
 
-    found = documents.select(key, text).mapInArrow(run, f"{key} {documents.schema[key].dataType.simpleString()}, repeated_share double, longest_repeat bigint")
-    return found.groupBy(key).agg(F.max("repeated_share").alias("repeated_share"), F.max("longest_repeat").alias("longest_repeat"))
+    kinds = f"{key} {documents.schema[key].dataType.simpleString()}, repeated_share double, longest_repeat bigint, longest_share double"
+    return documents.select(key, text).mapInArrow(run, kinds).groupBy(key).agg(*[F.max(c).alias(c) for c in MEASURES])
 
 
-def repetitive(documents: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Documents of which at least ``limit`` repeats earlier text: ``doc_id``."""
-    return repetition(documents).where(F.col("repeated_share") >= limit).select("doc_id")
+def repetitive(documents: DataFrame, limit: float = LIMIT, longest_limit: float = LONGEST_LIMIT) -> DataFrame:
+    """Documents beyond either limit, of the share that repeats earlier text or of the longest repeat: ``doc_id``."""
+    return repetition(documents).where((F.col("repeated_share") >= limit) | (F.col("longest_share") >= longest_limit)).select("doc_id")

@@ -208,6 +208,26 @@ def test_repetition_agrees_with_brute_force():
         assert abs(a - share[i]) < 1e-9 and b == longest[i]
 
 
+def test_short_phrases_and_numbers():
+    rng = random.Random(12)
+    noise = lambda k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(k))
+    spam = " ".join(f"buy the best cheap watches now {noise(3)}" for _ in range(200))
+    turns = " ".join(f"as a matter of fact {noise(60)}" for _ in range(30))
+    few = " ".join(f"one two three four five {noise(5)}" for _ in range(5))
+    numbers, table = "12 7 5 99 1\n" * 500, "\n".join(f"{i * 37 % 1009} {i * 91 % 1013} {i * 17 % 991}" for i in range(400))
+    logs = "\n".join(f"{i} {i * 7} {noise(12)} {i}" for i in range(60))
+    shares, _, parts = repetition.measures([spam, turns, few, numbers, table, logs, "=" * 5000])
+    assert shares[0] > 0.55 and shares[1] < 0.01 and shares[2] < 0.01 and shares[3] > 0.99 and shares[4] < 0.05 and shares[5] < 0.01 and shares[6] == 0
+    assert parts[3] > 0.99 and parts[0] == 0
+
+
+def test_each_limit_counts(spark):
+    once = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    df = spark.createDataFrame([(1, once + " " + once), (2, once)], "doc_id bigint, text string")
+    ids = lambda **k: [r.doc_id for r in repetition.repetitive(df, **k).collect()]
+    assert ids(limit=2.0, longest_limit=0.45) == [1] and ids(limit=0.4, longest_limit=2.0) == [1] and ids(limit=2.0, longest_limit=0.55) == []
+
+
 def test_repetition_rows(spark):
     same = "the quick brown fox jumps over the lazy dog near river {}. "
     rows = [(1, "".join(same.format(i) for i in range(9))), (1, "".join(same.format(i) for i in range(9))), (2, None), (3, ""), (4, "all different words here " + " ".join(chr(97 + i % 26) * (i // 26 + 1) for i in range(200)))]
