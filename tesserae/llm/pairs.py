@@ -7,9 +7,9 @@ A pair gets at most one defect, by the first rule that holds:
 * ``copy``: a suffix automaton over the words of the question reads the answer; the
   answer is a copy when almost all its words lie in passages of the question and it holds
   most of the question. Words that only frame a quotation are not counted.
-* ``refusal``: an automaton of refusing phrases in several languages finds one in the
-  opening of the answer, or the opening speaks in the first person and negates; nothing
-  but a short closing remark may follow.
+* ``refusal``: an automaton over the parts of refusing sentences in seven languages reads
+  the answer outside quotations and code (see ``refusal``): a sentence refuses, nothing of
+  substance stands before it and no contrast after it answers after all.
 * ``truncated``: a stack of delimiters (fences, code marks, brackets, quotes) is not empty
   at the end, or the last line of prose has no end.
 * ``language``: stopwords, and scripts that only one language uses, vote for another
@@ -30,26 +30,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesserae.llm.refusal import refuses
+
 # Answers that stand for no answer.
 PLACEHOLDERS = ("null", "none", "nil", "nan", "n a", "na", "todo", "tbd", "fixme", "empty", "answer", "response", "undefined", "placeholder", "no answer", "unknown", "xxx", "lorem ipsum", "br", "p")
 # Words that frame a quoted question.
 FRAMING = ("q", "a", "question", "answer", "the", "is", "you", "ask", "asked", "was", "your", "frage", "pregunta", "pregunta", "réponse", "respuesta", "antwort")
-# Phrases by which an answer declines, in seven languages.
-REFUSALS = (
-    "can't help with that", "cannot help with that", "i cannot answer", "i can't answer", "not able to answer", "unable to answer", "i don't know", "i do not know",
-    "no answer can be given", "must decline to", "i have to decline", "not something i provide", "won't be able to complete", "outside what i may discuss",
-    "impossible for me to tell", "gives no support for an answer", "nothing in the context that would let me", "not enough evidence was found",
-    "so the question must stay unanswered", "i'm unable to", "i am unable to", "i'm not able to", "i am not able to", "i could find nothing", "i will not guess", "as an ai",
-    "leider nicht beantworten", "keine ausreichenden angaben", "gebe ich keine antwort", "kann ich nicht beantworten", "kann ich leider nicht",
-    "ne me permettent pas de répondre", "ne peux pas répondre", "je ne sais pas", "je ne suis pas en mesure",
-    "no puedo responder", "no dispongo de información", "no puedo ayudar", "lo siento, no",
-    "не могу ответить", "данных недостаточно", "ответа не будет", "не могу помочь", "я не знаю",
-    "无法回答", "不能给出答案", "证据不足", "我不知道",
-    "お答えできません", "回答を控えます", "回答できません", "わかりません",
-)
-# The first person and negations, as words.
-FIRST_PERSON = ("i", "i'm", "i'd", "i'll", "i've", "me", "my", "myself")
-NEGATIONS = ("not", "no", "nothing", "never", "cannot", "can't", "won't", "don't", "couldn't", "unable", "unanswered", "impossible", "decline", "refuse", "outside", "sorry")
 # Frequent words of languages written in Latin script.
 STOPWORDS = {
     "en": "the a an is are was were be been does do did has have had will would may must can should this that these those it its of to in on at by for from with as and or but if unless when while which what where who why how not no every each one never seldom usually only still now once so until after before both them than then there without yes line at describe explain list show summarise write which note part files use steps lazily twice called calls function takes returns nothing special early owns defined",
@@ -73,10 +59,11 @@ _TAG = re.compile(r"<[^<>]*>")
 
 def words(text: str) -> list[str]:
     """Words in lower case; each character of an unspaced script is one."""
-    out = []
-    for w in _WORD.findall(normal(text)):
-        out += list(w) if _UNSPACED.search(w) else [w]
-    return out
+    low = normal(text)
+    found = _WORD.findall(low)
+    if not _UNSPACED.search(low):
+        return found
+    return [c for w in found for c in (w if _UNSPACED.search(w) else (w,))]
 
 
 class SuffixAutomaton:
@@ -143,36 +130,6 @@ def copied(question: str, answer: str, least: int = 2) -> tuple[float, float]:
     return sum(covered) / max(1, len(said) - sum(neutral)), sum(w in given for w in asked) / len(asked)
 
 
-@functools.lru_cache(1)
-def _refusals():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        automaton.add_word(phrase, phrase)
-    automaton.make_automaton()
-    return automaton
-
-
-_SENTENCE = re.compile(r".+?(?:[.!?。！？](?=\s|$|[^\x00-\x7f])|\Z)", re.S)
-
-
-def refuses(answer: str) -> bool:
-    if "```" in answer:
-        return False
-    parts = [s for s in (m.strip() for m in _SENTENCE.findall(normal(answer))) if s]
-    if not parts or len(parts) > 4:
-        return False
-    for sentence in parts[:2]:
-        quoted = _QUOTED.sub(" ", sentence)
-        if next(_refusals().iter(quoted), None) is not None:
-            return True
-        own = _WORD.findall(_CODE.sub(" ", quoted))
-        if any(w in FIRST_PERSON for w in own) and any(w in NEGATIONS for w in own) and len(own) < 40:
-            return True
-    return False
-
-
 _ITEM = re.compile(r"\s*(?:\d+[.)]|[-*+•])\s+\S")
 _CLOSERS = "\"'”’»)]`*_」』）"
 _ENDS = ".!?…。！？:;"
