@@ -548,7 +548,18 @@ DefHead <- 'async'? 'def' ID S.Anything? P.Params ('->' Test)?
 ClassHead <- 'class' ID S.Anything? P.Args?
 MatchHead <- 'match' Star
 CaseHead <- 'case' Patterns ('if' Named)?
-Patterns <- ANY+
+Patterns <- PatItem (',' PatItem)+ ','? / PatItem ',' / PatAs
+PatItem <- '*' ID / PatAs
+PatAs <- PatOr ('as' ID)?
+PatOr <- PatOne ('|' PatOne)*
+PatOne <- PatLit / Dotted P.PatArgs / Dotted / S.PatSeq / P.PatParen / B.PatMap
+PatLit <- '-'? NUM (('+' / '-') NUM)? / STR+ / 'None' / 'True' / 'False'
+PatParen <- Patterns / Nothing
+PatSeq <- (PatItem (',' PatItem)* ','?)?
+PatArgs <- (PatArg (',' PatArg)* ','?)?
+PatArg <- ID '=' PatAs / PatAs
+PatMap <- (PatPair (',' PatPair)* ','?)?
+PatPair <- '**' ID / (PatLit / Dotted) ':' PatAs
 Decorator <- '@' Named
 """
 PY_OPERATORS = "**= //= >>= <<= ... := -> ** // >> << <= >= == != += -= *= /= %= @= &= |= ^= = < > + - * / % & | ^ ~ : ; , . @ ! ? $ \\ `"

@@ -29,7 +29,8 @@ _KIND = dict(zip(_OPEN, "PSB", strict=True))
 _INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 _CURLY = "\\ue800-\\uebff"
 # Line ends with their indentation, in languages where these count; inside brackets they do not.
-_LINES = re.compile("[\uf000-\uf3ff]")
+FIRST_LINE, LAST_LINE = "\U000f0000", "\U0010fffd"
+_LINES = re.compile(f"[{FIRST_LINE}-{LAST_LINE}]")
 KEPT = 400_000
 
 _TOKEN = re.compile(r"\s*('(?:[^'\\]|\\.)+'|[PSB]\.\w+|\w+|[/*+?&!()])")

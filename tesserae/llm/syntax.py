@@ -13,6 +13,7 @@ rows of a file come out once.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import grammars as G
-from tesserae.llm.peg import AUTO, BAD, ID, NUM, STR, TPL, Grammar
+from tesserae.llm.peg import AUTO, BAD, FIRST_LINE, ID, LAST_LINE, NUM, STR, TPL, Grammar
 
 # Endings of paths and their languages.
 LANGUAGES = {
@@ -78,7 +79,7 @@ class Language:
             width = 0
             for c in token[1:]:
                 width = (width // 8 + 1) * 8 if c == "\t" else width + 1
-            return chr(0xF000 + min(width, 0x3FF))
+            return chr(min(ord(FIRST_LINE) + width, ord(LAST_LINE)))
         if token.startswith(("//", "/*")) and name != "Python":
             return "" if first != "/" or token[1] == "/" or (token.endswith("*/") and len(token) > 3) else BAD
         if first == "#" and name == "Python":
@@ -153,7 +154,7 @@ class Language:
 
 def _is_line(c: str) -> bool:
     """Whether a symbol is a line end with its indentation."""
-    return "\uf000" <= c <= "\uf3ff"
+    return FIRST_LINE <= c <= LAST_LINE
 
 
 class Blocks:
@@ -166,6 +167,7 @@ class Blocks:
 
     def __init__(self):
         self.grammar = Grammar(G.PY_BLOCKS, "x o I E L F W T X Y H D M C @", "")
+        self.names = {v: k for k, v in self.grammar.symbols.items()}
         self.kinds: dict[str, str] = {}
         self.kept: dict[str, bool] = {}
 
@@ -202,7 +204,7 @@ class Blocks:
             if _is_line(c):
                 if at > begin:
                     out.append((indent, s[begin:at]))
-                indent, begin = ord(c) - 0xF000, at + 1
+                indent, begin = ord(c) - ord(FIRST_LINE), at + 1
         if begin < len(s):
             out.append((indent, s[begin:]))
         return out
@@ -224,6 +226,41 @@ class Blocks:
             out.append(kind)
         return "".join(out) + "}" * (len(levels) - 1)
 
+    def first_bad(self, grammar: Grammar, lines: list[tuple[int, str]], finished: bool = True) -> int | None:
+        """Number of the first line, of indentations and symbols, that no block can take; of the last where ``finished`` lines lack one."""
+        follow = {"I": "EL", "E": "EL", "F": "L", "W": "L", "T": "XY", "X": "XLY"}
+        # a level: indentation, kinds that may go on the statement before, whether one must, whether only cases may stand here
+        levels: list[list] = [[0, "", False, False]]
+        before = ""
+        for number, (indent, line) in enumerate(lines):
+            kind = "".join(self.names[c] for c in self.kind(grammar, line))
+            if not kind:
+                return number
+            deeper = before not in ("", "x", "@") and "o" not in before
+            if deeper != (indent > levels[-1][0]):
+                return number
+            if deeper:
+                levels.append([indent, "", False, before == "M"])
+            while indent < levels[-1][0]:
+                if levels.pop()[2] or before == "@":
+                    return number
+            level, head = levels[-1], kind[0]
+            if indent != level[0]:
+                return number
+            if head in "ELXY":
+                if head not in level[1]:
+                    return number
+                tried = level[1] in ("XY", "XLY")
+                level[1] = ("Y" if head == "L" else "" if head == "Y" else follow[head]) if tried else follow.get(head, "")
+            else:
+                if level[2] or (head == "C") != level[3] or (before == "@" and head not in "@D"):
+                    return number
+                level[1] = follow.get(head, "")
+            level[2] = head == "T"
+            before = kind
+        due = before == "@" or (before not in ("", "x") and "o" not in before)
+        return len(lines) - 1 if finished and (due or any(x[2] for x in levels)) else None
+
     def parses(self, grammar: Grammar, s: str) -> bool:
         s = self.nested(grammar, s)
         if s is None:
@@ -281,7 +318,20 @@ def language_of(path: str | None) -> str | None:
     return LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if path and "." in path else None
 
 
-_CONFLICT = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?= |\r?$)")
+_MARKERS = re.compile(r"(?m)^(?:<{7}|>{7})(?= |\r?$)")
+
+
+def conflict(own: Language, text: str) -> int | None:
+    """Where a merge conflict opens that is closed as well, outside strings and comments; None without one."""
+    marks = list(_MARKERS.finditer(text))
+    if {m.group()[0] for m in marks} != {"<", ">"}:
+        return None
+    lead = own.lines == "indent"
+    spans = [(m.start() - lead, m.end() - lead) for m in own.pattern.finditer(own.prepared(text)) if "\n" in m.group().strip()]
+    inside = lambda at: any(a < at < b for a, b in spans[max(0, bisect.bisect(spans, (at,)) - 1) :][:1])
+    free = [m for m in marks if not inside(m.start())]
+    opened = next((m.start() for m in free if m.group()[0] == "<"), None)
+    return opened if opened is not None and any(m.group()[0] == ">" and m.start() > opened for m in free) else None
 
 
 def diagnose(name: str, text: str) -> tuple[int, str] | None:
@@ -300,6 +350,7 @@ def diagnose(name: str, text: str) -> tuple[int, str] | None:
     offset, cause = len(text), ""
     grammar = own.grammar
     frames: list[tuple[str, int, list[str], list[int]]] = [("", 0, [], [])]
+    groups: dict[int, tuple[str, list[str], list[int]]] = {}
     for at, c in enumerate(symbols):
         if c == BAD:
             offset, cause = places[at], "lexical"
@@ -323,12 +374,14 @@ def diagnose(name: str, text: str) -> tuple[int, str] | None:
                 break
             frames[-1][2].append(symbol)
             frames[-1][3].append(start)
+            groups[start] = opened, inside, spots
         else:
             frames[-1][2].append(c)
             frames[-1][3].append(places[at])
     else:
         if len(frames) > 1:
-            cause = "truncated"
+            at = _unfinished(own, frames, len(text))
+            offset, cause = (len(text), "truncated") if at is None else (at, "syntax")
         else:
             _, _, inside, spots = frames[0]
             if lead:
@@ -336,32 +389,62 @@ def diagnose(name: str, text: str) -> tuple[int, str] | None:
             else:
                 far = grammar.furthest("Program", "".join(inside))
                 offset, cause = (spots[far] if far < len(spots) else len(text)), "syntax"
+    if cause == "syntax":
+        offset = _inside(grammar, groups, offset)
     if cause in ("syntax", "lexical") and not text[offset:].strip():
         cause = "truncated"
     if cause == "lexical" and text[offset] in "\"'`/" and (text[offset] != "/" or text[offset + 1 : offset + 2] == "*"):
         cause = "truncated"
-    if _CONFLICT.search(text):
-        offset, cause = _CONFLICT.search(text).start(), "merge_conflict"
-    return offset, cause
-
-
-def _first_bad_line(grammar: Grammar, inside: list[str], spots: list[int], end: int) -> int:
-    """Place of the first line of a Python file that is no line, or that no block can hold."""
-    lines, begin = [], 0
-    for at, c in enumerate([*inside, ""]):
+    at = conflict(own, text)
+    line = text.rfind("\n", 0, offset) + 1
+    if _MARKERS.match(text, line):
+        at = line if at is None else min(at, line)
+    return (at, "merge_conflict") if at is not None and at <= offset else (offset, cause)
+
+
+def _inside(grammar: Grammar, groups: dict[int, tuple[str, list[str], list[int]]], at: int) -> int:
+    """Where the brackets that open at a place fail inside, from the outside in; the place itself where they are sound or none open."""
+    while at in groups:
+        opened, inside, spots = groups[at]
+        kept = [(x, p) for x, p in zip(inside, spots, strict=True) if not _is_line(x)]
+        body = "".join(x for x, _ in kept)
+        rules = [r for r in grammar.bit["PSB"["([{".find(opened)]] if r != "Anything"]
+        if any(grammar.full(r, body) for r in rules):
+            break
+        far = max((grammar.furthest(r, body) for r in rules), default=len(body))
+        if far >= len(body):
+            break
+        at = kept[far][1]
+    return at
+
+
+def _unfinished(own: Language, frames: list[tuple[str, int, list[str], list[int]]], end: int) -> int | None:
+    """Where what stands before the end fails already, in the outermost open bracket where it does; None where all may go on."""
+    for number, (opened, _, inside, spots) in enumerate(frames):
+        kept = [(x, p) for x, p in zip(inside, spots, strict=True) if not _is_line(x)] if opened else list(zip(inside, spots, strict=True))
+        body, rules = "".join(x for x, _ in kept), own.grammar.bit["PSB"["([{".find(opened)]] if opened else ["Program"]
+        if not opened and own.lines == "indent":
+            whole = max((i for i, x in enumerate(inside) if _is_line(x)), default=0)
+            at = _first_bad_line(own.grammar, inside[:whole], spots[:whole], end, False)
+            if at < end:
+                return at
+            continue
+        far = max((own.grammar.furthest(rule, body) for rule in rules), default=len(body))
+        if far < len(body):
+            return kept[far][1]
+    return None
+
+
+def _first_bad_line(grammar: Grammar, inside: list[str], spots: list[int], end: int, finished: bool = True) -> int:
+    """Place of the first line of a Python file that is no line, or that no block can hold; ``end`` where lines that are not all may go on."""
+    lines, begin, indent = [], 0, 0
+    for at, c in enumerate([*inside, FIRST_LINE]):
         if _is_line(c):
             if at > begin:
-                lines.append((spots[begin], "".join(inside[begin:at])))
-            begin = at + 1
-    for place, line in lines:
-        if not blocks().kind(grammar, line):
-            return place
-    good = [""]
-    for k in range(1, len(lines) + 1):
-        part = "".join(inside[: next((i for i, p in enumerate(spots) if p > lines[k - 1][0] and _is_line(inside[i])), len(inside))])
-        if blocks().parses(grammar, part):
-            good.append(part)
-    return lines[min(len(good) - 1, len(lines) - 1)][0] if lines else end
+                lines.append((spots[begin], indent, "".join(inside[begin:at])))
+            begin, indent = at + 1, ord(c) - ord(FIRST_LINE)
+    bad = blocks().first_bad(grammar, [(indent, line) for _, indent, line in lines], finished)
+    return end if bad is None else lines[bad][0]
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

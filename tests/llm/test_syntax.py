@@ -1,5 +1,7 @@
 import ast
+import itertools
 import random
+import time
 
 import pytest
 
@@ -59,9 +61,81 @@ def test_python_agrees_with_its_own_parser_under_edits():
 def test_causes():
     assert syntax.diagnose("Go", "package a\nfunc f() {\n")[1] == "truncated"
     assert syntax.diagnose("C", "int x;\n<<<<<<< HEAD\nint y;\n") == (7, "merge_conflict")
+    assert syntax.diagnose("C", "int x;\n<<<<<<< HEAD\nint y;\n=======\nint z;\n>>>>>>> other\n") == (7, "merge_conflict")
+    deep = "namespace a {\nvoid f() {\n  g();\n<<<<<<< ours\n  h();\n=======\n  i();\n>>>>>>> theirs\n}\n}\n"
+    assert syntax.diagnose("C++", deep) == (deep.index("<<<"), "merge_conflict")
+    nested = "namespace a {\nvoid f() {\n  g();\n  if (x y) { z(); }\n}\n}\n"
+    assert nested.count("\n", 0, syntax.diagnose("C++", nested)[0]) == 3
     assert syntax.diagnose("JavaScript", "let a = [1, 2);")[1] == "bracket"
 
 
+def test_conflicts_outside_strings_only():
+    titled = "\"\"\"\nTitle\n=======\n\"\"\"\ndef f(:\n    pass\n"
+    assert syntax.diagnose("Python", titled)[1] != "merge_conflict" and titled.count("\n", 0, syntax.diagnose("Python", titled)[0]) == 4
+    quoted = "x = '''\n<<<<<<< a\n=======\n>>>>>>> b\n'''\ny = = 1\n"
+    assert syntax.diagnose("Python", quoted)[1] == "syntax"
+    for name, mark in (("Python", "x = 1"), ("JavaScript", "let x = 1;")):
+        text = f"{mark}\n<<<<<<< ours\n{mark}\n=======\n{mark}\n>>>>>>> theirs\n"
+        assert syntax.diagnose(name, text) == (len(mark) + 1, "merge_conflict")
+
+
+def _bad_line(text):
+    found = syntax.diagnose("Python", text)
+    return found and text.count("\n", 0, found[0]) + 1
+
+
+def test_first_bad_line_of_blocks():
+    assert _bad_line("if a:\n    b\nelif c:\n    d\n\nx = 1\ny = 2\n\nelse:\n    z\n") == 9
+    assert _bad_line("try:\n    a\nexcept B:\n    c\nelse:\n    d\nfinally:\n    e\nexcept F:\n    g\n") == 9
+    assert _bad_line("try:\n    a\nx = 1\n") == 3
+    assert _bad_line("def f():\nx = 1\n") == 2 and _bad_line("x = 1\n  y = 2\n") == 2 and _bad_line("if a:\n    b\n  c\n") == 3
+    assert _bad_line("@d\nx = 1\n") == 2 and _bad_line("match x:\n    y = 1\n") == 2 and _bad_line("for a in b:\n    c\nelse:\n    d\nelse:\n    e\n") == 5
+    assert _bad_line("class A:\n    def f(self):\n") == 2
+    deep = "if a:\n" + " " * 2000 + "b\n"
+    assert _bad_line(deep) is None and _bad_line(deep + " " * 1500 + "c\n") == 3
+
+
+def _ends(lines):
+    """Lines that may close what is open after some lines."""
+    depth = len(lines[-1]) - len(lines[-1].lstrip())
+    closing = [[], [" " * (depth + 1) + "pass"], [" " * (depth + 1) + "case 1: pass"], [" " * depth + "def g(): pass"]]
+    tries = [" " * d + "finally: pass" for d in range(depth, -1, -1)]
+    return closing + [[*first, *some] for first in closing for n in range(1, 4) for some in itertools.combinations(tries, n)]
+
+
+def test_blocks_read_line_by_line_agree_with_the_grammar():
+    rng = random.Random(13)
+    kinds = ["x = 1", "if a:", "elif b:", "else:", "try:", "except E:", "finally:", "for a in b:", "with a:", "def f():", "@d", "pass", "if a: b", "while c: pass", "match x:", "case 1:", "else: z", "case 2: y"]
+    own = syntax.language("Python")
+    for _ in range(4000):
+        depth, lines = 0, []
+        for _ in range(rng.randint(1, 7)):
+            lines.append(" " * depth + rng.choice(kinds))
+            depth = max(0, depth + (rng.random() < 0.9 if lines[-1].endswith(":") else -(rng.random() < 0.4) * rng.randint(1, 2)))
+        text = "\n".join(lines) + "\n"
+        s = own.grammar.reduce(own.symbols(own.prepared(text)))
+        bad = syntax.blocks().first_bad(own.grammar, syntax.blocks().lines(s))
+        assert own.parses(text) == (bad is None), text
+        if bad:  # what stands before the first bad line can go on in some way
+            assert any(own.parses("\n".join([*lines[:bad], *end]) + "\n") for end in _ends(lines[:bad])), text
+
+
+def test_long_files_report_in_linear_time():
+    text = "".join(f"def f{i}(a):\n    if a:\n        return {i}\n    return a\n\n" for i in range(6000)) + "else:\n    x\n"
+    syntax.diagnose("Python", "x = = 1\n")
+    began = time.process_time()
+    assert _bad_line(text) == 30_001
+    assert time.process_time() - began < 3
+
+
+def test_case_patterns():
+    good = ["case 1:", "case -1 + 2j:", "case 'a' 'b' | None:", "case [1, *rest]:", "case (a, b) if a > b:", "case Point(x=1, y=[_, 2]) as p:", "case {'a': 1, **rest}:", "case a.b.C():", "case *a, b:", "case ():", "case (1 | 2):", "case x,:"]
+    bad = ["case 1 2 3:", "case Point(x=1 y=):", "case [1 2]:", "case {'a'}:", "case a b:", "case (*a):", "case 1 +:", "case x as:", "case f(x)(y):"]
+    whole = "match x:\n    {}\n        pass\n"
+    assert all(syntax.language("Python").parses(whole.format(c)) for c in good)
+    assert not any(syntax.language("Python").parses(whole.format(c)) for c in bad)
+
+
 def test_packrat_is_linear_in_nesting():
     grammar = Grammar("Program <- Sum\nSum <- One ('+' Sum)?\nOne <- '-' One / NUM / P.Program", "", "+ -")
     assert grammar.full("Program", grammar.reduce("(" * 200 + "0" + ")" * 200))
