@@ -113,13 +113,21 @@ class SuffixAutomaton:
         return out
 
 
+#: Shares of the answer's words in passages of the question, and of the question given back, from which an answer is a copy.
+COPIED, GIVEN_BACK = 0.8, 0.5
+
+
 def copied(question: str, answer: str, least: int = 2) -> tuple[float, float]:
-    """Share of the answer's words in passages of the question of ``least`` words or more, and of the question given back."""
+    """Share of the answer's words in passages of the question of ``least`` words or more, and of the question given back; both 0 where the first is no copy's."""
     asked, said = words(question), words(answer)
     while said and said[0] in FRAMING and said[: len(FRAMING)] != asked[: len(FRAMING)] and said[0] != (asked[0] if asked else ""):
         said = said[1:]
     if not asked or not said:
         return 0.0, 0.0
+    known = set(asked)
+    inside = sum(w in known for w in said)
+    if inside < COPIED * (len(said) - sum(w in FRAMING and w not in known for w in said)):
+        return 0.0, 0.0  # no cover can reach the share of a copy
     lengths = SuffixAutomaton(asked).matches(said)
     covered = [False] * len(said)
     for end, size in enumerate(lengths):
@@ -197,15 +205,24 @@ def language(text: str) -> str | None:
     if cyrillic > latin and cyrillic >= 6:
         return "ru"
     own = _WORD.findall(normal(plain))
-    votes = {k: sum(w in v for w in own) for k, v in _stopwords().items()}
+    voters = _stopwords()
+    votes = dict.fromkeys(STOPWORDS, 0)
+    for w in own:
+        for k in voters.get(w, ()):
+            votes[k] += 1
     best = max(votes, key=lambda k: votes[k])
     rest = max(v for k, v in votes.items() if k != best)
     return best if votes[best] >= 2 and votes[best] > 1.3 * rest else None
 
 
 @functools.lru_cache(1)
-def _stopwords() -> dict[str, frozenset[str]]:
-    return {k: frozenset(v.split()) for k, v in STOPWORDS.items()}
+def _stopwords() -> dict[str, list[str]]:
+    """The languages a word votes for."""
+    found: dict[str, list[str]] = {}
+    for k, v in STOPWORDS.items():
+        for w in set(v.split()):
+            found.setdefault(w, []).append(k)
+    return found
 
 
 def defect(question: str | None, answer: str | None) -> str | None:
@@ -217,7 +234,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
         return "empty"
     if question:
         given, back = copied(question, answer)
-        if given >= 0.8 and back >= 0.5:
+        if given >= COPIED and back >= GIVEN_BACK:
             return "copy"
     if refuses(answer):
         return "refusal"

@@ -137,15 +137,15 @@ def plain_text(answer: str) -> str:
 
 def refuses(answer: str) -> bool:
     """Whether an answer refuses."""
-    sentences = [s for s in _SENTENCE.findall(plain_text(answer)) if s.strip()]
-    for number, sentence in enumerate(sentences):
+    sentences = (m.group() for m in _SENTENCE.finditer(plain_text(answer)) if m.group().strip())
+    for sentence in sentences:
         clauses = _clauses(sentence)
         refused = [k for k, (clause, _) in enumerate(clauses) if refusing(parts_of(clause), clause)]
         if refused or refusing(parts_of(sentence), sentence):
             first = refused[0] if refused else len(clauses)
             if refused and any(MARK in c and _tells(parts_of(c), c) for c, _ in clauses[:first]):
                 return False
-            later = [(c, begins) for c, begins in clauses[first + 1 :]] + [(s, _begins(s)) for s in sentences[number + 1 :]]
+            later = [(c, begins) for c, begins in clauses[first + 1 :]] + [(s, _begins(s)) for s in sentences]
             return not any(begins and MARK in c and not refusing(parts_of(c), c) for c, begins in later)
         if _tells(parts_of(sentence), sentence) or any(MARK in c and _tells(parts_of(c), c) for c, _ in clauses):
             return False
