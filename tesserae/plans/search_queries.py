@@ -87,13 +87,25 @@ def compound_pairs(spark, d):
     return terms.select("query_id", F.explode(T.compounds(F.col("terms"))).alias("compound"))
 
 
-@query("query_intents")
+_ALPHA = " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.INTENT_ALPHA.items())
+_INTENTS = f"SELECT query_id, intent, (CASE intent {_ALPHA} END)::DOUBLE AS recommended_alpha FROM (SELECT query_id, {T.sql_intent('query_text')} AS intent FROM hybrid_search_options)"
+
+
+@query("query_intents", _INTENTS)
 def query_intents(spark, d):
     kind = T.intent(F.col("query_text"))
     return _options(spark, d).select("query_id", kind.alias("intent"), T.intent_alpha(kind).alias("recommended_alpha"))
 
 
-@query("headlines")
+_HEAD = "trim(text)"
+
+
+@query(
+    "headlines",
+    f"""WITH h AS (SELECT doc_id, {_HEAD} AS t, trim(regexp_extract({_HEAD}, '^([^\\r\\n]+)[\\r\\n]', 1)) AS first, trim(regexp_extract({_HEAD}, '^(.+?)(?: {{2,}}|\\t)', 1)) AS gap,
+      trim(regexp_extract({_HEAD}, '(?s)(?:^|.*[.!?]\\s+)([^.!?]*\\?)', 1)) AS question, trim(regexp_extract({_HEAD}, '^(.+?[.!?])(?:\\s|$)', 1)) AS sentence FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN first <> '' THEN first WHEN gap <> '' THEN gap WHEN question <> '' THEN question WHEN sentence <> '' THEN sentence ELSE t END AS headline FROM h""",
+)
 def headlines(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.headline(F.col("text")).alias("headline"))
 
@@ -317,6 +329,8 @@ def merge_two_lists(spark, d):
 
 @query(
     "route_by_intent",
+    f"WITH {_FUSED}, al AS (SELECT DISTINCT * FROM ({_INTENTS})), s AS (SELECT *, round(recommended_alpha * nl + (1 - recommended_alpha) * ns, 9) AS hybrid_score FROM norm JOIN al USING (query_id)),"
+    f" r AS (SELECT *, row_number() OVER (PARTITION BY query_id {_ORDER})::INT AS rank FROM s) SELECT query_id, element_id, rank FROM r WHERE rank <= 10",
 )
 def route_by_intent(spark, d):
     options = _options(spark, d)
