@@ -110,3 +110,31 @@ def merge_lists(first: DataFrame, second: DataFrame, weights: tuple[float, float
     kind = F.when(F.col("a") != F.col("b"), "both_queries").when(F.col("a") == 1, "original_query").otherwise("expanded_query")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("element_id"))
     return merged.select("query_id", "element_id", "score", kind.alias("provenance")).withColumn("rank", F.row_number().over(order))
+
+
+def dual_channel(first: DataFrame, second: DataFrame, how: str = "rrf", weight: float = 0.5, k: float = 60.0) -> DataFrame:
+    """Two vector channels ``query_id, vec_id, similarity, rank`` as one ranking, by reciprocal ranks or by scaled similarities: ``query_id, vec_id, score, rank``."""
+    if how not in ("rrf", "linear"):
+        raise ValueError(f"no fusion {how}")
+    a, b = first, second
+    if how == "linear":
+        a, b = (min_max(x, {"scaled": ("similarity", None)}) for x in (first, second))
+        part = lambda w: F.lit(w) * F.col("scaled")
+    else:
+        part = lambda w: F.lit(w) / (F.lit(k) + F.col("rank"))
+    both = a.select("query_id", "vec_id", part(weight).alias("s")).unionByName(b.select("query_id", "vec_id", part(1 - weight).alias("s")))
+    merged = both.groupBy("query_id", "vec_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    return merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))))
+
+
+#: Channels a routing policy sends an intent to: the weight of the lexical channel.
+POLICIES = {"always_both": {}, "symbols_lexical": {"ExactSymbol": 1.0, "FileOrDirectory": 1.0}, "concepts_semantic": {"Conceptual": 0.0, "Behavioral": 0.0}}
+
+
+def route(intent: Column, policy: str, default: float = 0.5) -> Column:
+    """Weight of the lexical channel of an intent under a policy."""
+    chosen = POLICIES[policy]
+    out = F.lit(default)
+    for name, weight in chosen.items():
+        out = F.when(intent == name, F.lit(weight)).otherwise(out)
+    return out

@@ -2,7 +2,8 @@
 
 A query has ``query_id, query_text``. Lookup terms are its tokens and, for two to four
 tokens, the collapsed form of the query. Scores: *baseline* (coverage and matches), *BM25*,
-and *structure-aware* (BM25 with boosts for exact names, fields and declarations). Results
+and *structure-aware* (BM25 with boosts for exact names, fields and, where elements have a
+``kind``, primary declarations). Results
 are ordered by score, exact name, matches, path and id; scores are rounded before ordering,
 since sums of doubles depend on the order of partial sums.
 
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import STOPWORDS, collapse_identifier, query_tokens
 from tesserae.operators.index import document_frequency, lengths, postings
 
+# Kinds of elements that count as primary declarations in ranking.
+DECLARATIONS = ("Class", "Struct", "Interface", "Function", "Method", "Component", "Hook", "Route", "JSXComponent")
 #: BM25 constants.
 K1, B = 1.2, 0.75
 
@@ -47,14 +50,19 @@ def all_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def name_flags(found: DataFrame, queries: DataFrame, elements: DataFrame) -> DataFrame:
-    """Adds ``exact`` (the query holds the name as it is), ``normalised`` (in any case) and ``prefix``."""
+    """Adds ``exact`` (the query holds the name as it is), ``normalised`` (in any case, or with nothing but its letters and digits) and ``prefix``; ``declared`` where elements have a kind."""
     text = F.regexp_replace("query_text", "[`?!,;\"]", " ")
     words = F.split(F.trim(text), r"\s+")
     low = F.transform(words, F.lower)
-    joined = found.join(queries.select("query_id", words.alias("w"), low.alias("lw")), "query_id").join(elements.select("element_id", "name", "file_path"), "element_id")
-    return joined.withColumn("exact", F.array_contains("w", F.col("name"))).withColumn("normalised", F.array_contains("lw", F.lower("name"))).withColumn(
+    bare = F.transform(words, collapse_identifier)
+    whole = F.when(F.size(words).between(2, 4), F.array_append(bare, collapse_identifier(text))).otherwise(bare)
+    kind = [F.col("kind").isin(*DECLARATIONS).alias("declared")] if "kind" in elements.columns else []
+    joined = found.join(queries.select("query_id", words.alias("w"), low.alias("lw"), whole.alias("cw")), "query_id").join(elements.select("element_id", "name", "file_path", *kind), "element_id")
+    own = collapse_identifier(F.col("name"))
+    alike = F.array_contains("lw", F.lower("name")) | ((own != "") & F.array_contains("cw", own))
+    return joined.withColumn("exact", F.array_contains("w", F.col("name"))).withColumn("normalised", alike).withColumn(
         "prefix", F.exists("lw", lambda x: (F.length(x) >= 3) & F.lower("name").startswith(x))
-    ).drop("w", "lw")
+    ).drop("w", "lw", "cw")
 
 
 def baseline_score(n_terms: Column) -> Column:
@@ -82,11 +90,12 @@ def bm25(terms: DataFrame, posted: DataFrame, sizes: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "element_id").agg(F.round(F.sum(bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("average"))), 6).alias("bm25"))
 
 
-def structure_aware_score(n_terms: Column) -> Column:
+def structure_aware_score(n_terms: Column, declared: Column | None = None) -> Column:
     flag = lambda c: F.col(c).cast("int")
     return (
         F.col("bm25") + 5.0 * F.col("matched") / F.greatest(n_terms, F.lit(1)) + 10 * flag("exact") + 5 * flag("normalised") + 2 * (F.col("prefix") & ~F.col("normalised")).cast("int")
         + 3.0 * F.col("name_hits") + 1.5 * F.col("context_hits") + 1.0 * F.col("detail_hits") + 0.5 * F.col("path_hits")
+        + (0.0 if declared is None else 2.0 * declared.cast("int"))
     )
 
 
@@ -96,14 +105,21 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, elements: DataFrame, ranker: str = "structure_aware", mode: str = "any", k: int = 100) -> DataFrame:
-    """``query_id, element_id, rank, score, matched, exact, normalised, prefix`` of the first ``k`` elements of each query."""
+def search(queries: DataFrame, elements: DataFrame, ranker: str = "structure_aware", mode: str = "any", k: int = 100, kinds: tuple[str, ...] | None = None, more_terms: DataFrame | None = None) -> DataFrame:
+    """``query_id, element_id, rank, score, matched, exact, normalised, prefix`` of the first ``k`` elements of each query.
+
+    ``kinds`` keeps only elements of these kinds as results; ``more_terms`` (``query_id, term``) are looked up beside the terms of the queries.
+    """
     if ranker not in ("baseline", "bm25", "structure_aware"):
         raise ValueError(f"unknown ranker {ranker}")
     posted, terms = postings(elements), query_terms(queries)
+    if more_terms is not None:
+        terms = terms.unionByName(more_terms.select("query_id", F.lower("term").alias("term"), F.lit(True).alias("clean"))).groupBy("query_id", "term").agg(F.max("clean").alias("clean"))
     if ranker == "structure_aware":
         terms = terms.where("clean")
     found = candidates(terms, posted)
+    if kinds:
+        found = found.join(elements.where(F.col("kind").isin(*kinds)).select("element_id"), "element_id", "left_semi")
     if mode == "all":
         found = all_terms(found, terms)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
@@ -112,5 +128,5 @@ def search(queries: DataFrame, elements: DataFrame, ranker: str = "structure_awa
         scored = scored.withColumn("score", F.round(baseline_score(F.col("n_terms")), 6))
     else:
         scored = scored.join(bm25(terms, posted, lengths(elements)), ["query_id", "element_id"])
-        scored = scored.withColumn("score", F.col("bm25") if ranker == "bm25" else F.round(structure_aware_score(F.col("n_terms")), 6))
+        scored = scored.withColumn("score", F.col("bm25") if ranker == "bm25" else F.round(structure_aware_score(F.col("n_terms"), F.col("declared") if "declared" in scored.columns else None), 6))
     return top(scored, k).select("query_id", "element_id", "rank", "score", "matched", "exact", "normalised", "prefix")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.operators import codegraph
 from tesserae.operators import evaluation as M
 from tesserae.operators import evidence as K
 from tesserae.operators import expansion as X
@@ -160,24 +161,49 @@ def import_resolution(spark, d):
     return R.resolve_imports(_imports(spark, d), table(spark, d, "file_info").select("repo_name", "path").distinct())
 
 
+def _code(spark, d):
+    """Parsed elements with their repositories, and the files, each once."""
+    files = table(spark, d, "file_info").select("file_id", "repo_name", "path", "content").dropDuplicates(["file_id"])
+    return cut(U.searchable(parse.elements(files), files)), files
+
+
+def _graph(spark, d):
+    elements, files = _code(spark, d)
+    return elements, files, cut(codegraph.build(elements, files))
+
+
 @query("call_resolution")
 def call_resolution(spark, d):
-    files = table(spark, d, "file_info").select("file_id", "repo_name", "path").distinct()
-    parsed = _parsed(spark, d).where("kind IN ('Call', 'Function', 'Method', 'Component', 'Include')").select("element_id", "file_id", "file_path", "kind", "name", "parent_context")
-    found = cut(parsed.join(files.select("file_id", "repo_name"), "file_id"))
-    calls = found.where("kind = 'Call'").select(F.col("element_id").alias("id"), "file_id", "repo_name", F.col("parent_context").alias("scope"), F.col("name").alias("callee"))
-    functions = found.where("kind IN ('Function', 'Method', 'Component')").select("element_id", "file_id", "repo_name", "name", "parent_context")
-    imports = found.where("kind = 'Include'").select(F.col("element_id").alias("id"), "file_id", "repo_name", "file_path", F.col("name").alias("import_text"))
-    targets = R.resolve_imports(imports, files).where("target IS NOT NULL").select("id", F.col("target").alias("path"))
-    edges = imports.select("id", "file_id", "repo_name").join(targets, "id").join(files.withColumnRenamed("file_id", "target_file"), ["repo_name", "path"])
-    return R.resolve_calls(calls, functions, edges.select("file_id", "target_file")).groupBy("layer", "status").agg(F.count("*").alias("n"))
-
-
-@query("type_bases")
+    elements, files = _code(spark, d)
+    return codegraph.resolved_calls(elements, codegraph.imports_of(elements, files)).groupBy("layer", "status").agg(F.count("*").alias("n"))
+
+
+@query("code_graph_edges")
+def code_graph_edges(spark, d):
+    return _graph(spark, d)[2]
+
+
+@query("code_graph_counts")
+def code_graph_counts(spark, d):
+    return codegraph.counts(_graph(spark, d)[2])
+
+
+# Suppliers named after a part of their nation stand for types, nations for what they may extend.
+@query(
+    "type_bases",
+    """WITH t AS (SELECT s_suppkey AS id, n_name AS base FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    k AS (SELECT n_name AS name, min(n_nationkey) AS target FROM nation GROUP BY 1)
+    SELECT id, CASE WHEN id % 3 = 0 THEN 'same_file' WHEN id % 3 = 1 THEN 'name' WHEN k.target IS NOT NULL THEN 'segment' END AS layer, k.target::BIGINT AS target,
+           CASE WHEN k.target IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
+    FROM t LEFT JOIN k ON k.name = CASE WHEN id % 3 = 2 THEN regexp_extract(base, '([A-Za-z0-9_]+)$', 1) ELSE base END""",
+)
 def type_bases(spark, d):
-    found = _parsed(spark, d)
-    types = found.where("kind IN ('Class', 'Struct', 'Interface') AND detail LIKE 'extends: %'").select(F.col("element_id").alias("id"), "file_id", F.explode(F.split(F.regexp_replace("detail", "^extends: ", ""), r",\s*")).alias("base_name"))
-    return R.resolve_bases(types, found.where("kind IN ('Class', 'Struct', 'Interface')").select("element_id", "file_id", "name"))
+    nation = table(spark, d, "nation")
+    known = nation.select(F.col("n_nationkey").cast("bigint").alias("element_id"), F.col("n_nationkey").alias("file_id"), F.col("n_name").alias("name"))
+    s = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    part = F.col("s_suppkey") % 3
+    types = s.select(F.col("s_suppkey").alias("id"), F.when(part == 0, F.col("n_nationkey")).otherwise(-1).alias("file_id"), F.when(part == 2, F.concat(F.lit("world::"), "n_name")).otherwise(F.col("n_name")).alias("base_name"))
+    return R.resolve_bases(types, known)
 
 
 @query("containment_edges")
@@ -190,22 +216,39 @@ def containment_edges(spark, d):
 
 @query("primary_search")
 def primary_search(spark, d):
-    return pipeline.primary_search(table(spark, d, "hybrid_search_options"), file_elements(table(spark, d, "file_info")))
+    return pipeline.code_search(table(spark, d, "hybrid_search_options"), table(spark, d, "file_info"))
 
 
 @query("primary_search_adaptive")
 def primary_search_adaptive(spark, d):
-    return pipeline.primary_search(table(spark, d, "hybrid_search_options"), file_elements(table(spark, d, "file_info")), alpha=None)
+    return pipeline.code_search(table(spark, d, "hybrid_search_options"), table(spark, d, "file_info"), alpha=None)
+
+
+@query("search_metrics")
+def search_metrics(spark, d):
+    return pipeline.search_metrics(primary_search(spark, d))
+
+
+@query("hybrid_element_search")
+def hybrid_element_search(spark, d):
+    """Search over single elements of some kinds, without units."""
+    elements, _ = _code(spark, d)
+    return pipeline.primary_search(table(spark, d, "hybrid_search_options"), elements.where("kind <> 'Call'"), alpha=0.5, kinds=("Function", "Method", "Class", "Struct"))
 
 
 @query("related_search")
 def related_search(spark, d):
-    """Fused results with the candidates of the same file as their neighbours."""
-    results = table(spark, d, "primary_search_results")
-    fused = H.fuse_weighted(results, F.lit(0.8), 10).select("query_id", "element_id", "rank")
-    names = results.groupBy("element_id").agg(F.first("element_name").alias("name"), F.first("file_path").alias("file_path"))
-    ends = results.groupBy("file_path").agg(F.min("element_id").alias("source"), F.max("element_id").alias("target")).where("source < target")
-    return X.related_search(fused, ends.select("source", "target", F.lit("References").alias("kind")), names)
+    """The first units of each query with what the graph of the code relates them to."""
+    elements, files, edges = _graph(spark, d)
+    found = pipeline.code_search(table(spark, d, "hybrid_search_options"), files, elements, k=10).select("query_id", F.col("unit_id").alias("element_id"), "rank")
+    return X.related_search(found, edges, _nodes(elements))
+
+
+def _nodes(elements):
+    """Elements and files of the graph by their ids: ``element_id, name, file_path``."""
+    own = elements.select("element_id", "name", "file_path").where("element_id >= 0")
+    base = F.regexp_extract("file_path", r"([^/]*)$", 1)
+    return own.unionByName(elements.select(codegraph.file_node(F.col("file_id")).alias("element_id"), base.alias("name"), "file_path").dropDuplicates(["element_id"]))
 
 
 # Evidence
@@ -269,37 +312,162 @@ def concept_margin(spark, d):
     return K.concept_support(concepts.join(items, "query_id").where("item_id <> concept"))
 
 
-_SEEDS = f"""WITH {_FUSED}, f AS (SELECT query_id, element_id, round(0.8 * nl + (1 - 0.8) * ns, 9) AS hybrid, row_number() OVER (PARTITION BY query_id ORDER BY round(0.8 * nl + (1 - 0.8) * ns, 9) DESC, (coalesce(lr, 0) > 0) DESC, element_id)::INT AS rank FROM norm),
-s AS (SELECT query_id, element_id AS item_id, rank, hybrid, round(hybrid / (1 + 0.02 * (rank - 1)), 6) AS seed_score FROM f WHERE hybrid >= 0.05),
+_SEEDS = f"""WITH {_FUSED}, {_SUBJECTS}, f AS (SELECT query_id, element_id, round(0.8 * nl + (1 - 0.8) * ns, 9) AS hybrid, row_number() OVER (PARTITION BY query_id ORDER BY round(0.8 * nl + (1 - 0.8) * ns, 9) DESC, (coalesce(lr, 0) > 0) DESC, element_id)::INT AS rank FROM norm),
+e AS (SELECT element_id, lower(max(element_name)) AS name, lower(max(file_path)) AS path FROM primary_search_results GROUP BY 1),
+h AS (SELECT repo_name, file_path FROM primary_search_results GROUP BY ALL HAVING count(DISTINCT element_id) > 1),
+g AS (SELECT DISTINCT element_id FROM primary_search_results JOIN h USING (repo_name, file_path)),
+en AS (SELECT DISTINCT query_id, lower(w) AS entity FROM (SELECT query_id, unnest(string_split_regex(regexp_replace(query_text, '[`"?,;:!]', ' ', 'g'), '\\s+')) AS w FROM hybrid_search_options) WHERE {T.sql_technical('w')}),
+x AS (SELECT f.*, EXISTS (SELECT 1 FROM en WHERE en.query_id = f.query_id AND entity = name) AS entity_hit, (SELECT coalesce(sum(contains(name, subject)::INT + contains(path, subject)::INT), 0) FROM subj WHERE subj.query_id = f.query_id) AS hits, g.element_id IS NOT NULL AS has_edge
+      FROM f LEFT JOIN e USING (element_id) LEFT JOIN g USING (element_id)),
+s AS (SELECT query_id, element_id AS item_id, rank, hybrid, round((hybrid + CASE WHEN entity_hit THEN 0.3 ELSE 0 END + least(0.45, 0.15 * hits) + CASE WHEN has_edge THEN 0.1 ELSE 0 END) / (1 + 0.02 * (rank - 1)), 6) AS seed_score FROM x WHERE hybrid >= 0.05),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed_score DESC, hybrid DESC, item_id)::INT AS seed_rank FROM s)"""
 
 
-def _seeds(spark, d):
-    fused = H.fuse_weighted(table(spark, d, "primary_search_results"), F.lit(0.8))
-    return K.seed_scores(fused.select("query_id", F.col("element_id").alias("item_id"), F.col("hybrid_score").alias("hybrid"), F.lit(False).alias("entity_hit"), F.lit(0).alias("subject_hits"), F.lit(False).alias("has_edge"), "rank"))
+def _hubs(spark, d):
+    """Edges between the candidates of a file and the file itself, where it holds several: each candidate meets its file, not every other."""
+    near = table(spark, d, "primary_search_results").where("repo_name IS NOT NULL AND file_path IS NOT NULL").select("repo_name", "file_path", "element_id").distinct()
+    several = near.groupBy("repo_name", "file_path").agg(F.count("*").alias("n")).where("n > 1")
+    hub = (-F.shiftrightunsigned(F.xxhash64("repo_name", "file_path"), 1) - 1).alias("source")
+    return near.join(several, ["repo_name", "file_path"]).select(hub, F.col("element_id").alias("target"), F.lit("Contains").alias("kind"))
 
 
 @query("seed_scores", f"{_SEEDS} SELECT query_id, item_id, seed_score, seed_rank FROM r WHERE seed_rank <= 5")
 def seed_scores(spark, d):
-    return _seeds(spark, d).select("query_id", "item_id", "seed_score", "seed_rank")
+    results = table(spark, d, "primary_search_results")
+    named = results.groupBy("element_id").agg(F.max("element_name").alias("name"), F.max("file_path").alias("file_path"))
+    facts = pipeline.seed_facts(table(spark, d, "hybrid_search_options"), _subjects(spark, d), H.fuse_weighted(results, F.lit(0.8)), named, _hubs(spark, d))
+    return K.seed_scores(facts).select("query_id", "item_id", "seed_score", "seed_rank")
+
+
+def _investigated(spark, d):
+    elements, files, edges = _graph(spark, d)
+    options, nodes = table(spark, d, "hybrid_search_options"), _nodes(elements)
+    found = cut(pipeline.code_search(options, files, elements).withColumnRenamed("unit_id", "element_id"))
+    seeds = K.seed_scores(pipeline.seed_facts(options, _subjects(spark, d), found, nodes, edges))
+    pool = cut(K.investigate(seeds, edges, found.select("query_id", F.col("element_id").alias("item_id"), "rank")))
+    return elements, files, edges, nodes, found, pool
 
 
 @query("pool_assembly")
 def pool_assembly(spark, d):
+    """Seeds of the search over code, what its graph brings in two hops, and the other candidates."""
+    return _investigated(spark, d)[-1]
+
+
+@query("investigation_steps")
+def investigation_steps(spark, d):
+    return K.steps(_investigated(spark, d)[-1])
+
+
+@query("evidence_bundle")
+def evidence_bundle(spark, d):
+    elements, files, _, _, _, pool = _investigated(spark, d)
+    return K.bundle(pool, elements, files.select("file_id", "content"))
+
+
+@query("second_hop")
+def second_hop(spark, d):
+    _, _, edges, nodes, found, pool = _investigated(spark, d)
+    items = pool.join(nodes.select(F.col("element_id").alias("item_id"), "name", "file_path"), "item_id").withColumn("excerpt", F.lit(None).cast("string")).withColumn("expanded", F.col("stage").isin(1, 2))
+    gate = K.sufficiency(table(spark, d, "hybrid_search_options"), K.subject_coverage(_subjects(spark, d), items), found.select("query_id", F.col("hybrid_score").alias("score")))
+    return K.second_hop(gate, pool, edges)
+
+
+_ACTIONS = f"act AS (SELECT DISTINCT query_id, lower(regexp_replace({_CLEAN}, '[?!.,:;]+$', '')) AS action FROM ({_WORDS}) WHERE {T.sql_role(_CLEAN)} = 'Action')"
+
+
+@query(
+    "action_coverage",
+    f"WITH {_ACTIONS}, {_ITEMS} SELECT query_id, action, coalesce(bool_or(" + " OR ".join(f"coalesce({_contains(f, 'action')}, FALSE)" for f in ("name", "file_path")) + "), FALSE) AS hit FROM act LEFT JOIN items USING (query_id) GROUP BY ALL",
+)
+def action_coverage(spark, d):
+    clean = F.regexp_replace("word", '[`"]', "")
+    actions = _words(spark, d).where(T.term_role(clean) == "Action").select("query_id", F.lower(F.regexp_replace(clean, "[?!.,:;]+$", "")).alias("action")).distinct()
+    return K.action_coverage(actions, _items(spark, d))
+
+
+@query(
+    "selection_policy",
+    f"""WITH {_FUSED}, f AS (SELECT query_id, element_id AS item_id, round(0.8 * nl + (1 - 0.8) * ns, 9) AS policy_score FROM norm), p AS (SELECT element_id AS item_id, max(file_path) AS file_path FROM primary_search_results GROUP BY 1),
+    a AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_path ORDER BY policy_score DESC, item_id) AS r FROM f JOIN p USING (item_id)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY policy_score DESC, item_id)::INT AS pos FROM a WHERE r <= 2) SELECT query_id, item_id, pos FROM b WHERE pos <= 8""",
+)
+def selection_policy(spark, d):
     results = table(spark, d, "primary_search_results")
-    near = results.select("file_path", "element_id").distinct()
-    edges = near.groupBy("file_path").agg(F.min("element_id").alias("source"), F.max("element_id").alias("target")).where("source < target").select("source", "target")
-    rest = H.fuse_weighted(results, F.lit(0.8)).select("query_id", F.col("element_id").alias("item_id"), "rank")
-    return K.investigate(_seeds(spark, d), edges, rest)
+    paths = results.groupBy(F.col("element_id").alias("item_id")).agg(F.max("file_path").alias("file_path"))
+    rows = H.fuse_weighted(results, F.lit(0.8)).select("query_id", F.col("element_id").alias("item_id"), F.col("hybrid_score").alias("hybrid"), F.lit(False).alias("entity_hit")).join(paths, "item_id")
+    return K.select_policy(rows, 8, 2).select("query_id", "item_id", "pos")
+
 
+_TITLED = "fu AS (SELECT query_id, element_id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.8 * nl + (1 - 0.8) * ns, 9) DESC, (coalesce(lr, 0) > 0) DESC, element_id)::INT AS pos FROM norm), tb AS (SELECT query_id, element_id, max(element_name) AS title, max(file_path) AS body FROM primary_search_results GROUP BY ALL)"
+_FULL, _SHORT = "'## ' || title || chr(10) || coalesce(body, '') || chr(10)", "'- ' || title || chr(10)"
 
-@query("context_build")
+
+@query(
+    "context_build",
+    f"""WITH RECURSIVE {_FUSED}, {_TITLED}, it AS (SELECT query_id, pos, {_FULL} AS f, {_SHORT} AS s FROM fu JOIN tb USING (query_id, element_id) WHERE pos <= 15),
+    w AS (SELECT query_id, 0 AS pos, '' AS t, 0 AS n, 0 AS nf, FALSE AS over FROM (SELECT DISTINCT query_id FROM it)
+      UNION ALL SELECT w.query_id, it.pos,
+        CASE WHEN over THEN t WHEN length(t || f) <= 400 THEN t || f WHEN n = 0 THEN f[1:400 - 11] || chr(10) || '... [cut]' || chr(10) WHEN length(t || s) <= 400 THEN t || s ELSE t END,
+        n + (NOT over AND (length(t || f) <= 400 OR n = 0 OR length(t || s) <= 400))::INT, nf + (NOT over AND length(t || f) <= 400)::INT, over OR NOT (length(t || f) <= 400 OR n = 0 OR length(t || s) <= 400)
+      FROM w JOIN it ON it.query_id = w.query_id AND it.pos = w.pos + 1)
+    SELECT query_id, max_by(n, pos) AS n_items, max_by(nf, pos) AS n_full, max_by(length(t), pos)::INT AS used, max_by(t, pos) AS rendered FROM w GROUP BY 1""",
+)
 def context_build(spark, d):
     results = H.fuse_weighted(table(spark, d, "primary_search_results"), F.lit(0.8), 15)
-    named = table(spark, d, "primary_search_results").groupBy("query_id", "element_id").agg(F.first("element_name").alias("title"), F.first("file_path").alias("body"))
+    named = table(spark, d, "primary_search_results").groupBy("query_id", "element_id").agg(F.max("element_name").alias("title"), F.max("file_path").alias("body"))
     return K.build_context(results.join(named, ["query_id", "element_id"]).select("query_id", F.col("rank").alias("pos"), "title", "body"), 400)
 
 
+# Windows, refusals, prompts
+
+
+@query(
+    "anchored_windows",
+    """WITH f AS (SELECT DISTINCT file_id, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n$', ''), chr(10)) AS l FROM file_info WHERE content IS NOT NULL),
+    x AS (SELECT DISTINCT excerpt_id, file_id, start_line AS s, end_line AS e, greatest(1, start_line - 5) AS a FROM source_excerpts WHERE end_line IS NOT NULL)
+    SELECT excerpt_id, CASE WHEN e - s + 1 <= 12 THEN CASE WHEN s >= 1 AND s <= e AND s <= len(l) THEN array_to_string(l[s:least(len(l), e)], chr(10)) END
+      WHEN a <= len(l) THEN array_to_string(l[a:least(len(l), a + 11)], chr(10)) || chr(10) || '... [truncated]' END AS text FROM x JOIN f USING (file_id)""",
+)
+def anchored_windows(spark, d):
+    files = table(spark, d, "file_info").where("content IS NOT NULL").select("file_id", "content").distinct()
+    rows = table(spark, d, "source_excerpts").where("end_line IS NOT NULL").select("excerpt_id", "file_id", "start_line", "end_line").distinct()
+    return rows.join(files, "file_id").select("excerpt_id", K.anchored_window(F.col("content"), F.col("start_line"), F.col("end_line"), 12).alias("text"))
+
+
+@query("byte_prefixes", "SELECT DISTINCT doc_id, text[1:coalesce(list_max(list_filter(range(0, 61), lambda k: strlen(text[1:k]) <= 60)), 0)] AS prefix FROM documents WHERE text IS NOT NULL")
+def byte_prefixes(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.byte_prefix(F.col("text"), 60).alias("prefix")).distinct()
+
+
+_GATE = f"""{_FUSED}, {_TOP}, {_COVERAGE},
+    c AS (SELECT query_id, count(*) AS n, sum((primary_hit OR expanded_hit)::INT) AS h, sum(primary_hit::INT) AS p, string_agg(CASE WHEN NOT primary_hit AND NOT expanded_hit THEN subject END, ', ' ORDER BY subject) AS missing FROM cov GROUP BY 1),
+    j AS (SELECT query_id, coalesce(missing, '') AS missing, CASE WHEN coalesce(n_items, 0) = 0 THEN 'no evidence' WHEN coalesce(h, 0) = 0 THEN 'no subject covered' WHEN p = 0 THEN 'no primary subject' WHEN coalesce(h / n, 0) < 0.34 THEN 'coverage too low' WHEN top_score < 0.05 THEN 'top score too low' ELSE 'sufficient' END AS reason
+          FROM (SELECT DISTINCT query_id FROM hybrid_search_options) LEFT JOIN c USING (query_id) LEFT JOIN top USING (query_id))"""
+_REFUSED = "CASE WHEN missing <> '' THEN 'There is no evidence for: ' || missing ELSE 'There is not enough evidence: ' || reason END"
+
+
+def _gate(spark, d):
+    scored = H.fuse_weighted(table(spark, d, "primary_search_results"), F.lit(0.8)).select("query_id", F.col("hybrid_score").alias("score"))
+    return K.sufficiency(table(spark, d, "hybrid_search_options"), K.subject_coverage(_subjects(spark, d), _items(spark, d)), scored)
+
+
+@query("refusal_messages", f"WITH {_GATE} SELECT query_id, {_REFUSED} AS message FROM j WHERE reason <> 'sufficient'")
+def refusal_messages(spark, d):
+    return _gate(spark, d).where("NOT sufficient").select("query_id", K.refusal_message(F.col("missing"), F.col("reason")).alias("message"))
+
+
+@query("prompts", "SELECT DISTINCT query_id, 'Answer from the evidence alone and name the files you used.' || chr(10) || chr(10) || 'Evidence:' || chr(10) || repo_name || chr(10) || chr(10) || 'Question: ' || query_text AS prompt FROM hybrid_search_options")
+def prompts(spark, d):
+    return table(spark, d, "hybrid_search_options").select("query_id", L.prompt(F.col("query_text"), F.col("repo_name")).alias("prompt")).distinct()
+
+
+@query("gated_answers", f"WITH {_GATE} SELECT query_id, CASE WHEN reason = 'sufficient' THEN 'GROUNDED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status, CASE WHEN reason = 'sufficient' THEN 'See the evidence.' ELSE {_REFUSED} END AS answer FROM j")
+def gated_answers(spark, d):
+    gated = _gate(spark, d).select("query_id", F.lit("?").alias("question"), "sufficient", K.refusal_message(F.col("missing"), F.col("reason")).alias("refusal"), F.lit("").alias("context"))
+    return L.grounded_answers(gated)
+
+
 # Evaluation
 
 _GRADE = "CASE WHEN semantic_rank BETWEEN 1 AND 3 THEN 3 WHEN semantic_rank BETWEEN 4 AND 10 THEN 2 WHEN semantic_rank BETWEEN 11 AND 15 THEN 1 ELSE 0 END"
@@ -371,6 +539,17 @@ def channel_overlap(spark, d):
     return M.channel_overlap(table(spark, d, "primary_search_results"))
 
 
+@query(
+    "lenient_path_matches",
+    """WITH f AS (SELECT query_id, element_id, max(lower(file_path)) AS a FROM primary_search_results WHERE file_path IS NOT NULL GROUP BY ALL), e AS (SELECT query_id, max_by(a, element_id) AS b FROM f GROUP BY 1)
+    SELECT query_id, count(*) AS n_candidates, sum((a = b OR ends_with(a, b) OR ends_with(b, a) OR contains(a, b) OR regexp_extract(a, '([^/]*)$', 1) = regexp_extract(b, '([^/]*)$', 1))::INT)::BIGINT AS n_matches FROM f JOIN e USING (query_id) GROUP BY 1""",
+)
+def lenient_path_matches(spark, d):
+    found = table(spark, d, "primary_search_results").where("file_path IS NOT NULL").groupBy("query_id", "element_id").agg(F.max(F.lower("file_path")).alias("a"))
+    expected = found.groupBy("query_id").agg(F.max_by("a", "element_id").alias("b"))
+    return found.join(expected, "query_id").groupBy("query_id").agg(F.count("*").alias("n_candidates"), F.sum(M.path_matches(F.col("a"), F.col("b")).cast("bigint")).alias("n_matches"))
+
+
 @query("candidate_diversity", "WITH o AS (SELECT query_id, file_path, count(DISTINCT element_id) AS n FROM primary_search_results GROUP BY ALL) SELECT query_id, count(*) AS n_files, max(n) AS most_of_one_file, sum(n)::BIGINT AS n_candidates FROM o GROUP BY 1")
 def candidate_diversity(spark, d):
     return M.diversity(table(spark, d, "primary_search_results"))

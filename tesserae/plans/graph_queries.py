@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.operators import expansion as X
+from tesserae.operators import fusion as H
 from tesserae.operators import graph as J
+from tesserae.operators import tools as L
 from tesserae.operators import vectors as G
 from tesserae.plans.registry import query
 from tesserae.session import table
@@ -48,6 +51,29 @@ def knn_label_precision(spark, d):
     return both.groupBy("label").agg(F.round(F.avg((F.col("label") == F.col("vl")).cast("int")), 6).alias("precision"))
 
 
+_HALVES = """v AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS e FROM embeddings GROUP BY 1),
+sims AS (SELECT q.vec_id AS query_id, x.vec_id, round(list_cosine_similarity(q.e[1:32], x.e[1:32]), 6) AS a, round(list_cosine_similarity(q.e[33:64], x.e[33:64]), 6) AS b FROM v q, v x WHERE q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, vec_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, vec_id) AS rb FROM sims),
+both_ AS (SELECT query_id, vec_id, CASE WHEN ra <= 50 THEN 0.5 / (60 + ra) ELSE 0 END + CASE WHEN rb <= 50 THEN 0.5 / (60 + rb) ELSE 0 END AS s FROM ranks WHERE ra <= 50 OR rb <= 50),
+r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id)::INT AS rank FROM both_)"""
+
+
+# Halves of the vectors stand for two models.
+@query("dual_channel", f"WITH {_HALVES} SELECT query_id, vec_id, rank FROM r WHERE rank <= 10")
+def dual_channel(spark, d):
+    half = lambda at: _vectors(spark, d).select("vec_id", F.slice("embedding", at, 32).alias("embedding"))
+    one, two = (G.knn_exact(x, G.query_set(x), 50) for x in (half(1), half(33)))
+    return H.dual_channel(one, two).where("rank <= 10").select("query_id", "vec_id", "rank")
+
+
+@query("index_lifecycle", "SELECT 'built' AS step, count(*) AS n_vectors FROM embeddings UNION ALL SELECT 'replaced', count(*) FROM embeddings UNION ALL SELECT 'removed', count(*) FROM embeddings WHERE vec_id % 5 <> 0 UNION ALL SELECT 'valid', count(*) FROM embeddings WHERE len(embedding) = 64")
+def index_lifecycle(spark, d):
+    index = _vectors(spark, d).select("vec_id", "embedding")
+    steps = {"built": index, "replaced": G.upsert(index, index.where("vec_id % 7 = 0")), "removed": G.remove(index, index.where("vec_id % 5 = 0")), "valid": G.valid(index, 64)}
+    counted = [f.agg(F.count("*").alias("n_vectors")).select(F.lit(k).alias("step"), "n_vectors") for k, f in steps.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
 @query("ann_search")
 def ann_search(spark, d):
     return G.knn_approximate(_vectors(spark, d), G.query_set(_vectors(spark, d)), 10)
@@ -248,6 +274,29 @@ def expansion_scores(spark, d):
     return J.expansion_scores(_edges(spark, d), seeds)
 
 
+@query("call_graph", f"WITH {_EDGES} SELECT source, target, kind FROM edges WHERE kind = 'Calls'")
+def call_graph(spark, d):
+    parts = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("node"))
+    return J.call_graph(_edges(spark, d), parts, 1)
+
+
+@query("expansion_by_depth", _bfs_sql(_IN, "SELECT 'region:' || r_regionkey AS node FROM region WHERE 'region:' || r_regionkey IN (SELECT target FROM edges)", 2) + ", d AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL), l AS (SELECT DISTINCT depth AS within FROM d) SELECT within::INT AS depth, count(DISTINCT root) AS n_roots, count(*) AS n_nodes FROM d JOIN l ON depth <= within GROUP BY 1")
+def expansion_by_depth(spark, d):
+    return X.depth_study(J.bfs(_edges(spark, d), _regions(spark, d), 2, "in"))
+
+
+@query(
+    "tool_get_relationships",
+    f"""WITH {_EDGES}, el AS ({_NAMED}), n AS (SELECT element_id AS node FROM el WHERE lower(name) = (SELECT lower(min(n_name)) FROM nation) ORDER BY file_path, element_id LIMIT 1),
+    b AS (SELECT 'out' AS direction, kind, target AS neighbor FROM edges JOIN n ON source = node UNION SELECT 'in', kind, source FROM edges JOIN n ON target = node),
+    p AS (SELECT direction, kind, neighbor, name, file_path, row_number() OVER (PARTITION BY direction, kind ORDER BY file_path NULLS LAST, name NULLS LAST, neighbor) AS pos FROM b LEFT JOIN el ON neighbor = element_id)
+    SELECT direction, kind, neighbor, name, file_path FROM p WHERE pos <= 10 ORDER BY direction DESC, kind, pos, neighbor LIMIT 10""",
+)
+def tool_get_relationships(spark, d):
+    first = table(spark, d, "nation").agg(F.min("n_name")).first()[0]
+    return L.get_relationships(_edges(spark, d), _elements(spark, d), first or "").drop("phrase")
+
+
 @query("graph_memory", f"WITH {_EDGES}, n AS (SELECT source AS x FROM edges UNION SELECT target FROM edges) SELECT a.n_nodes, b.n_edges, a.n_nodes * 340 + b.n_edges * 170 AS bytes FROM (SELECT count(*) AS n_nodes FROM n) a, (SELECT count(*) AS n_edges FROM edges) b")
 def graph_memory(spark, d):
     return J.memory_estimate(_edges(spark, d))
@@ -259,7 +308,14 @@ def relationship_phrases(spark, d):
     return kinds.select("kind", "direction", J.phrase(F.col("kind"), F.col("direction")).alias("phrase"))
 
 
-@query("budget_greedy")
+@query(
+    "budget_greedy",
+    """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice::DECIMAL(38, 6)::DOUBLE AS p, trunc(o_totalprice)::BIGINT AS cost FROM orders), r AS (SELECT o_custkey, o_orderkey, cost, row_number() OVER (PARTITION BY o_custkey ORDER BY cost DESC, o_orderkey) AS i FROM o),
+    w AS (SELECT o_custkey, o_orderkey, cost, i, cost AS used, 1 AS kept, TRUE AS taken FROM r WHERE i = 1
+      UNION ALL SELECT r.o_custkey, r.o_orderkey, r.cost, r.i, used + CASE WHEN kept < 3 AND used + r.cost <= 400000 THEN r.cost ELSE 0 END, kept + (kept < 3 AND used + r.cost <= 400000)::INT, kept < 3 AND used + r.cost <= 400000
+      FROM w JOIN r ON r.o_custkey = w.o_custkey AND r.i = w.i + 1)
+    SELECT o_custkey, o_orderkey, cost, kept::INT AS pos FROM w WHERE taken""",
+)
 def budget_greedy(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("bigint").alias("cost"))
     return J.greedy_budget(orders, "o_custkey", [-F.col("cost"), F.col("o_orderkey")], "cost", 400_000, 3)

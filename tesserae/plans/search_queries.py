@@ -186,15 +186,32 @@ def candidate_hits(spark, d):
     return D.candidates(_clean_terms(spark, d).drop("clean"), I.postings(_files(spark, d)))
 
 
-@query("match_all_terms", f"WITH {_FOUND} SELECT query_id, element_id FROM found JOIN cl USING (query_id) WHERE matched >= n")
+# Files asked for by their own names, so that all terms match somewhere.
+_ASKED = "asked AS (SELECT element_id AS query_id, name AS query_text FROM elements WHERE name <> '')"
+
+
+@query("match_all_terms", f"WITH {_FOUND} SELECT query_id, element_id FROM found JOIN cl USING (query_id) WHERE matched >= n".replace("qt AS (", _ASKED + ", qt AS (", 1).replace("hybrid_search_options", "asked"))
 def match_all_terms(spark, d):
-    terms = _clean_terms(spark, d)
+    words = F.regexp_replace("query_text", '[`?!,;"]', " ")
+    asked = _files(spark, d).where("name <> ''").select(F.col("element_id").alias("query_id"), F.col("name").alias("query_text"))
+    terms = asked.select("query_id", F.explode(T.query_tokens(words)).alias("term")).where(~F.col("term").isin(*T.STOPWORDS)).withColumn("clean", F.lit(True))
     return D.all_terms(D.candidates(terms.drop("clean"), I.postings(_files(spark, d))), terms).select("query_id", "element_id")
 
 
+@query("posting_lookup", f"WITH {_FOUND} SELECT term, element_id, tf FROM post WHERE term IN (SELECT term FROM clean)")
+def posting_lookup(spark, d):
+    return I.lookup(I.postings(_files(spark, d)), _clean_terms(spark, d)).select("term", "element_id", "tf")
+
+
+@query("code_syntax", f"SELECT doc_id, regexp_matches(text, '{T.CODE_SYNTAX}') AS has_code FROM documents")
+def code_syntax(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.has_code_syntax(F.col("text")).alias("has_code"))
+
+
 _FLAGS = f"""{_FOUND},
 flags AS (
-  SELECT found.*, name, file_path, list_contains(words, name) AS exact, list_contains(list_transform(words, lambda w: lower(w)), lower(name)) AS normalised,
+  SELECT found.*, name, file_path, list_contains(words, name) AS exact, list_contains(list_transform(words, lambda w: lower(w)), lower(name)) OR (regexp_replace(name, '[^A-Za-z0-9]', '', 'g') <> ''
+           AND list_contains(list_concat(list_transform(words, lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), CASE WHEN len(words) BETWEEN 2 AND 4 THEN [lower(regexp_replace(array_to_string(words, ''), '[^A-Za-z0-9]', '', 'g'))] ELSE [] END), lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')))) AS normalised,
          len(list_filter(words, lambda w: length(w) >= 3 AND starts_with(lower(name), lower(w)))) > 0 AS prefix
   FROM found JOIN qo USING (query_id) JOIN elements USING (element_id)),
 stats AS (SELECT count(*) AS n, avg(length) AS average FROM len),

@@ -42,7 +42,7 @@ DECLARATIONS: dict[str, list[tuple[str, re.Pattern, int | None]]] = {
         ("Function", re.compile(r"^[ \t]*(?:[A-Za-z_][\w \t:<>,&*]*[\s*&]+)((?:[A-Za-z_]\w*::)*~?[A-Za-z_]\w*)\s*\(([^;{}]*)\)[^;{}=]*\{", re.M), None),
     ],
     "Java": [
-        ("Class", re.compile(rf"\b(?:class|enum|record)\s+{_NAME}[^{{;]*?(?:extends\s+([\w.<>, ]+?))?\s*(?:implements\s+[\w.<>, ]+)?\s*\{{"), 2), ("Interface", re.compile(rf"\binterface\s+{_NAME}(?:\s+extends\s+([\w.<>, ]+))?\s*\{{"), 2),
+        ("Class", re.compile(rf"\b(?:class|enum|record)\s+{_NAME}[^{{;]*?(?:\bextends\s+([\w.<>, ]+?))?\s*(?:\bimplements\s+([\w.<>, ]+?))?\s*\{{"), 2), ("Interface", re.compile(rf"\binterface\s+{_NAME}(?:\s+extends\s+([\w.<>, ]+))?\s*\{{"), 2),
         ("Method", re.compile(rf"^[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\], ?.]+\s+)?{_NAME}\s*\(([^;{{}}]*)\)\s*(?:throws[^{{]*)?\{{", re.M), None),
     ],
     "Go": [
@@ -54,7 +54,7 @@ DECLARATIONS: dict[str, list[tuple[str, re.Pattern, int | None]]] = {
         ("Function", re.compile(rf"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+{_NAME}", re.M), None),
     ],
     "JavaScript": [
-        ("Class", re.compile(rf"\bclass\s+{_NAME}(?:\s+extends\s+([\w.]+))?[^{{]*\{{"), 2), ("Interface", re.compile(rf"^[ \t]*(?:export\s+)?(?:interface|type)\s+{_NAME}", re.M), None),
+        ("Class", re.compile(rf"\bclass\s+{_NAME}(?:<[^>{{]*>)?(?:\s+extends\s+([\w.]+))?(?:<[^>{{]*>)?(?:\s+implements\s+([\w.<>, ]+?))?\s*\{{"), 2), ("Interface", re.compile(rf"^[ \t]*(?:export\s+)?(?:interface|type)\s+{_NAME}", re.M), None),
         ("Function", re.compile(rf"\bfunction\s*\*?\s*{_NAME}\s*(?:<[^>]*>)?\("), None), ("Function", re.compile(rf"\b(?:const|let|var)\s+{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*(?::\s*[\w<>\[\], ]+)?=>"), None),
         ("Method", re.compile(rf"^[ \t]+(?:(?:static|async|public|private|protected|get|set)\s+)*{_NAME}\s*\([^;{{}}()]*\)\s*(?::\s*[\w<>\[\], ]+)?\s*\{{", re.M), None),
     ],
@@ -101,7 +101,7 @@ def _comment_above(lines: list[str], line: int) -> str:
     return clean_documentation("\n".join(reversed(found)))
 
 
-def _braces(text: str, language: str) -> list[tuple]:
+def _braces(text: str, language: str, markup: bool = False) -> list[tuple]:
     plain, lines = _blank(text), text.splitlines()
     starts = [m.end() for m in re.finditer("\n", text)]
     import bisect
@@ -123,6 +123,8 @@ def _braces(text: str, language: str) -> list[tuple]:
                 kind_now = "Method" if "::" in name else kind
             if bases and m.group(bases):
                 detail = "extends: " + re.sub(r"\s+", " ", re.sub(r"\b(?:public|private|protected|virtual)\b", "", m.group(bases))).strip()
+            if bases and pattern.groups > bases and m.group(bases + 1):
+                detail += ("; " if detail else "") + "implements: " + re.sub(r"\s+", " ", m.group(bases + 1)).strip()
             if language in ("JavaScript", "TypeScript") and kind == "Function" and name[0].isupper():
                 kind_now = "Component"
             scopes.append((at, end, name, kind_now, context, detail, text[m.start() : m.end()].strip().split("\n")[-1].rstrip("{ ")))
@@ -154,6 +156,12 @@ def _braces(text: str, language: str) -> list[tuple]:
         owner = max(((a, n) for a, e, n in ends if a <= m.start() < e), default=(0, ""))[1]
         kind = "Hook" if language in ("JavaScript", "TypeScript") and re.match(r"use[A-Z]", name) else "Call"
         out.append((m.start(), kind, name, line_of(m.start()), line_of(m.start()), owner, "", "", ""))
+    if markup:
+        for m in _JSX.finditer(plain):
+            owner = max(((a, n) for a, e, n in ends if a <= m.start() < e), default=(0, ""))[1]
+            line = line_of(m.start())
+            out.append((m.start(), "JSXComponent" if m.group(1)[0].isupper() else "JSXElement", m.group(1), line, line, owner, "", "", ""))
+            out += [(m.start(), kind, name, line, line, m.group(1), value, "", "") for kind, name, value in _attributes(text[m.start(2) : m.end(2)])]
     return [x[1:] for x in sorted(out, key=lambda x: x[0])]
 
 
@@ -179,30 +187,40 @@ def _python(text: str) -> list[tuple]:
                 out.append(("Include", ast.unparse(child), child.lineno, child.end_lineno, parent, "", "", ""))
             else:
                 if isinstance(child, ast.Call):
-                    out.append(("Call", ast.unparse(child.func)[:200], child.lineno, child.end_lineno, parent, "", "", ""))
+                    out.append(("Call", ast.unparse(child.func), child.lineno, child.end_lineno, parent, "", "", ""))
                 walk(child, parent, inside)
 
     walk(tree, "", False)
     return out
 
 
+_JSX = re.compile(r"(?<![\w)\]])<([A-Za-z][\w.]*)((?:\s+[\w:-]+(?:\s*=\s*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|[^\s>{]*\s*))?)*)\s*/?>")
+
+
+def _attributes(text: str) -> list[tuple[str, str, str]]:
+    """Attributes of a tag with their values, and the tokens of its classes: kind, name, value."""
+    out = []
+    for a in re.finditer(r"([\w:@.-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|\{[^{}]*\}|[^\s>]+))?", text):
+        value = (a.group(2) or "").strip("{}").strip().strip("\"'`")
+        out.append(("Attribute", a.group(1), value))
+        if a.group(1) in ("class", "className"):
+            out += [("UtilityClass", c, "") for c in value.split()]
+    return out
+
+
 def _markup(text: str) -> list[tuple]:
     out = []
     for m in re.finditer(r"<([A-Za-z][\w-]*)((?:\s+[\w:@.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?)*)\s*/?>", text):
         line = text.count("\n", 0, m.start()) + 1
         out.append(("JSXElement", m.group(1), line, line, "", "", "", ""))
-        for a in re.finditer(r"([\w:@.-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", m.group(2)):
-            value = (a.group(2) or "").strip("\"'")
-            out.append(("Attribute", a.group(1), line, line, m.group(1), value, "", ""))
-            if a.group(1) in ("class", "className"):
-                out += [("UtilityClass", c, line, line, m.group(1), "", "", "") for c in value.split()]
+        out += [(kind, name, line, line, m.group(1), value, "", "") for kind, name, value in _attributes(m.group(2))]
     return out
 
 
 def _styles(text: str) -> list[tuple]:
     out, plain = [], re.sub(r"/\*[\s\S]*?\*/", lambda m: re.sub(r"[^\n]", " ", m.group()), text)
     line = lambda p: plain.count("\n", 0, p) + 1
-    out += [("Include", m.group().strip(), line(m.start()), line(m.start()), "", "", "", "") for m in re.finditer(r"@import[^;]+;", plain)]
+    out += [("Include", " ".join(m.group().split()), line(m.start()), line(m.start()), "", "", "", "") for m in re.finditer(r"@[a-z-]+[^;{}]*;?", plain)]
     for m in re.finditer(r"([^{}@;]+)\{([^{}]*)\}", plain):
         name = " ".join(m.group(1).split())
         out.append(("Selector", name, line(m.start(1)), line(m.end()), "", "", "", ""))
@@ -226,7 +244,7 @@ def parse_source(text: str | None, language: str | None, path: str = "") -> list
     if language == "Python":
         found = _python(text)
     elif language in DECLARATIONS:
-        found = _braces(text, language)
+        found = _braces(text, language, path.lower().endswith(("x", ".js")) and language in ("JavaScript", "TypeScript"))
     elif language == "HTML":
         found = _markup(text)
     elif language == "CSS":

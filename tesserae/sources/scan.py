@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import bounded_rows
+
 # Endings, the language a breakdown names and the language that is parsed.
 LANGUAGES = {
-    "cpp": ("C++", "C++"), "cc": ("C++", "C++"), "cxx": ("C++", "C++"), "hpp": ("C/C++ Header", "C++"), "h": ("C/C++ Header", "C"), "c": ("C", "C"), "py": ("Python", "Python"), "java": ("Java", "Java"),
+    "cpp": ("C++", "C++"), "cc": ("C++", "C++"), "cxx": ("C++", "C++"), "hpp": ("C/C++ Header", "C++"), "hh": ("C/C++ Header", "C++"), "h": ("C/C++ Header", "C"), "c": ("C", "C"), "py": ("Python", "Python"), "java": ("Java", "Java"),
     "go": ("Go", "Go"), "rs": ("Rust", "Rust"), "js": ("JavaScript", "JavaScript"), "mjs": ("JavaScript", "JavaScript"), "jsx": ("JavaScript React", "JavaScript"), "ts": ("TypeScript", "TypeScript"),
     "tsx": ("TypeScript React", "TypeScript"), "html": ("HTML", "HTML"), "css": ("CSS", "CSS"), "scss": ("SCSS", "CSS"),
 }
@@ -91,15 +93,40 @@ def ignored(files: DataFrame, rules: list[tuple[int, str, bool]]) -> DataFrame:
     return files.withColumn("ignored", state)
 
 
-def scan(files: DataFrame, rules: list[tuple[int, str, bool]] | None = None, custom: tuple[str, ...] = (), include_large: bool = False, skip_binary: bool = True) -> DataFrame:
-    """Adds ``language`` and ``skip_reason`` (null for a kept file) to ``path, size`` and, where there is one, ``content``."""
+def nested_rules(files: DataFrame, name: str = ".gitignore", most: int = 100_000) -> list[tuple[int, str, bool]]:
+    """Rules of all ignore files of a table ``path, content``, those of a folder below its own, outer ones first; raises beyond ``most`` files."""
+    own = files.where(F.regexp_extract("path", r"([^/]*)$", 1) == name).select("path", F.col("content").cast("string").alias("content")).dropDuplicates(["path"])
+    found = bounded_rows(own, most)
+    if found is None:
+        raise ValueError(f"more than {most} ignore files")
+    rules: list[tuple[int, str, bool]] = []
+    for path, content in sorted(found, key=lambda r: (r[0].count("/"), r[0])):
+        rules += [(len(rules) + number, pattern, negated) for number, pattern, negated in ignore_rules(content or "", path.rpartition("/")[0])]
+    return [(number, pattern, negated) for number, (_, pattern, negated) in enumerate(rules)]
+
+
+def scan(
+    files: DataFrame, rules: list[tuple[int, str, bool]] | None = None, custom: tuple[str, ...] = (), include_large: bool = False, skip_binary: bool = True, vcs_rules: list[tuple[int, str, bool]] | None = None, tracked: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``language`` and ``skip_reason`` (null for a kept file) to ``path, size`` and, where there is one, ``content``.
+
+    ``vcs_rules`` are the rules of a version control system; they never skip a path of ``tracked``.
+    """
     out = ignored(files, rules or [])
+    vcs = F.lit(False)
+    if vcs_rules:
+        out = out.withColumn("_own", F.col("ignored"))
+        out = ignored(out.drop("ignored"), vcs_rules).withColumnRenamed("ignored", "_vcs").withColumnRenamed("_own", "ignored")
+        if tracked is not None:
+            out = out.join(tracked.select("path").distinct().withColumn("_tracked", F.lit(True)), "path", "left").withColumn("_vcs", F.col("_vcs") & F.col("_tracked").isNull()).drop("_tracked")
+        vcs = F.col("_vcs")
     size = F.coalesce("size", F.octet_length("content").cast("bigint")) if "content" in files.columns else F.col("size")
     reason = (
         F.when(F.col("path").isNull(), "unreadable")
         .when(excluded(F.col("path"), SAFETY), "internal_safety")
         .when(excluded(F.col("path"), custom) if custom else F.lit(False), "custom_exclusion")
         .when(F.col("ignored"), "ignore_rule")
+        .when(vcs, "vcs_ignored")
         .when(excluded(F.col("path")), "default_exclusion")
         .when(~supported(F.col("path")), "unsupported_extension")
         .when(size > HARD_SIZE, "exceeds_hard_limit")
@@ -107,7 +134,7 @@ def scan(files: DataFrame, rules: list[tuple[int, str, bool]] | None = None, cus
     )
     if skip_binary and "content" in files.columns and dict(files.dtypes)["content"] == "binary":
         reason = reason.when(binary(F.col("content")), "binary")
-    return out.withColumn("language", language(F.col("path"))).withColumn("skip_reason", reason).drop("ignored")
+    return out.withColumn("language", language(F.col("path"))).withColumn("skip_reason", reason).drop("ignored", "_vcs")
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:

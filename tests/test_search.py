@@ -110,6 +110,49 @@ def test_approximate_search_has_recall(spark):
     assert G.recall(G.knn_exact(v, q, 10), G.knn_approximate(v, q, 10)).first().recall >= 0.9
 
 
+def test_exact_search_by_blocks_agrees_with_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in np.round(rng.standard_normal(4), 1)]) for i in range(120)] + [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0]), (204, [1.0, None, 0.0, 0.0]), (5, None)]
+    df = spark.createDataFrame(rows[:-1], "vec_id bigint, embedding array<float>")
+    queries = df.where("vec_id % 20 = 0 OR vec_id >= 200")
+
+    def cos(a, b):
+        a, b = ([0.0 if v is None else float(np.float32(v)) for v in x or []] for x in (a, b))
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return 0.0 if len(a) != len(b) or na < 1e-6 or nb < 1e-6 else round(sum(x * y for x, y in zip(a, b)) / na / nb, 6) + 0.0
+
+    vectors = dict(rows[:-1])
+    want = {q: sorted(((-cos(vectors[q], v), i) for i, v in vectors.items() if i != q))[:7] for q in vectors if q % 20 == 0 or q >= 200}
+    for size in (50_000, 13):
+        monkeypatch.setattr(G, "VECTOR_BLOCK", size)
+        monkeypatch.setattr(G, "QUERY_BLOCK", size)
+        got = {}
+        for r in G.knn_exact(df.union(df), queries, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.similarity, r.vec_id))
+        assert {q: [(round(s, 5), i) for s, i in v] for q, v in got.items()} == {q: [(round(s, 5), i) for s, i in v] for q, v in want.items()}
+    assert G.knn_exact(df.limit(0), queries, 3).count() == 0 and G.knn_exact(df, queries.limit(0), 3).count() == 0
+
+
+def test_codebooks_round_trip(spark, tmp_path):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    books = G.Codebooks.fit(v, 64, parts=8, codes=16)
+    G.save(G.quantised(v, books, 64), str(tmp_path / "q"), books)
+    assert (G.load_books(spark, str(tmp_path / "q")).centroids == books.centroids).all()
+    assert G.quantised(v, books, 64).where("length(codes) = 8").count() == v.select("vec_id").distinct().count()
+
+
+def test_embedders(spark):
+    df = spark.createDataFrame([(1, "parse the file"), (2, None), (3, ""), (4, "the file parse"), (4, "the file parse"), (5, "...")], "k bigint, text string")
+    plain = {r.k: list(r.embedding) for r in G.hash_embed(df, "k").collect()}
+    assert plain[1] == pytest.approx(plain[4]) and sum(x * x for x in plain[1]) == pytest.approx(1) and set(plain[2] + plain[3] + plain[5]) == {0.0} and len(plain) == 5
+    placed = {r.k: list(r.embedding) for r in G.lexicon_embed(df, "k", {"parse": 3}).collect()}
+    assert placed[1] != pytest.approx(placed[4]) and sum(x * x for x in placed[1]) == pytest.approx(1) and len(placed[1]) == 384
+    near = G.retrieve_text(G.hash_embed(df, "k").withColumnRenamed("k", "vec_id"), spark.createDataFrame([(-1, "parse file"), (-2, " ")], "vec_id bigint, text string"), 2)
+    assert {r.vec_id for r in near.collect()} == {1, 4}
+
+
 def test_index_maintenance(spark, tmp_path):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0])], "vec_id bigint, embedding array<float>")
     good = G.valid(v, 2)
