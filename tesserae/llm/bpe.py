@@ -229,7 +229,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 128-bit hash per pre-token as two numbers, from sums over the mixed code points."""
-    out = np.empty((len(starts), 2), np.uint64)
+    out = np.empty((2, len(starts)), np.uint64)
     spot = np.arange(len(codes), dtype=np.int64) - np.repeat(starts, ends - starts)
     for k, odd in enumerate(_ODD):
         with np.errstate(over="ignore"):
@@ -239,19 +239,20 @@ def _hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
             x ^= x >> np.uint64(32)
             x *= np.uint64(0x94D049BB133111EB)
             x ^= x >> np.uint64(31)
-            out[:, k] = np.add.reduceat(x, starts)
+            out[k] = np.add.reduceat(x, starts)
     return out
 
 
 def distinct(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct pair of numbers is met first, and the number of the pair in each row."""
-    order = np.argsort(hashed[:, 0], kind="stable")
-    left, right = hashed[order].T
-    fresh = left[1:] != left[:-1]
-    if (~fresh & (right[1:] != right[:-1])).any():
-        order = np.lexsort((hashed[:, 1], hashed[:, 0]))
-        left, right = hashed[order].T
-        fresh = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    """Where each distinct pair of numbers, one row each of the pair, is met first, and the number of the pair at each place."""
+    left, right = hashed
+    order = np.argsort(left, kind="stable")
+    low, high = left[order], right[order]
+    fresh = low[1:] != low[:-1]
+    if (high[1:][~fresh] != high[:-1][~fresh]).any():
+        order = np.lexsort((right, left))
+        low, high = left[order], right[order]
+        fresh = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     fresh = np.append(np.ones(min(1, len(order)), bool), fresh)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(fresh) - 1

@@ -72,7 +72,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     letters, numbers = (np.bincount(doc[k], minlength=len(texts)) for k in ((sort == 1) | (sort == 2), sort == 3))
     own = (sort > 0) & ((sort < 3) | (numbers >= NUMBERS_A_WORD * letters)[doc])
     starts, doc = starts[own], doc[own]
-    number = distinct(hashed[own])[1]
+    number = distinct(hashed[:, own])[1]
     return number, doc, starts - np.append(0, ends)[doc], kind[starts] == 2
 
 
