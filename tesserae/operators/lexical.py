@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import STOPWORDS, collapse_identifier, query_tokens
 from tesserae.operators.index import document_frequency, lengths, postings
+from tesserae.session import cut
 
 # Kinds of elements that count as primary declarations in ranking.
 DECLARATIONS = ("Class", "Struct", "Interface", "Function", "Method", "Component", "Hook", "Route", "JSXComponent")
@@ -90,6 +91,16 @@ def bm25(terms: DataFrame, posted: DataFrame, sizes: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "element_id").agg(F.round(F.sum(bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("average"))), 6).alias("bm25"))
 
 
+def scored_candidates(terms: DataFrame, posted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``candidates`` with their ``bm25`` in one pass over the posting lists."""
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+    weight = document_frequency(posted).crossJoin(F.broadcast(stats)).select("term", "average", idf(F.col("n"), F.col("df")).alias("idf"))
+    hits = terms.select("query_id", "term").join(weight, "term").join(posted, "term").join(sizes, "element_id")
+    fields = [F.sum(F.array_contains("fields", f).cast("int")).cast("int").alias(f"{f}_hits") for f in ("name", "context", "detail", "path")]
+    score = F.round(F.sum(bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("average"))), 6)
+    return hits.groupBy("query_id", "element_id").agg(F.count("*").cast("int").alias("matched"), *fields, score.alias("bm25"))
+
+
 def structure_aware_score(n_terms: Column, declared: Column | None = None) -> Column:
     flag = lambda c: F.col(c).cast("int")
     return (
@@ -112,12 +123,12 @@ def search(queries: DataFrame, elements: DataFrame, ranker: str = "structure_awa
     """
     if ranker not in ("baseline", "bm25", "structure_aware"):
         raise ValueError(f"unknown ranker {ranker}")
-    posted, terms = postings(elements), query_terms(queries)
+    posted, terms = cut(postings(elements)), query_terms(queries)  # the index, read more than once below
     if more_terms is not None:
         terms = terms.unionByName(more_terms.select("query_id", F.lower("term").alias("term"), F.lit(True).alias("clean"))).groupBy("query_id", "term").agg(F.max("clean").alias("clean"))
     if ranker == "structure_aware":
         terms = terms.where("clean")
-    found = candidates(terms, posted)
+    found = candidates(terms, posted) if ranker == "baseline" else scored_candidates(terms, posted, lengths(elements))
     if kinds:
         found = found.join(elements.where(F.col("kind").isin(*kinds)).select("element_id"), "element_id", "left_semi")
     if mode == "all":
@@ -127,6 +138,5 @@ def search(queries: DataFrame, elements: DataFrame, ranker: str = "structure_awa
     if ranker == "baseline":
         scored = scored.withColumn("score", F.round(baseline_score(F.col("n_terms")), 6))
     else:
-        scored = scored.join(bm25(terms, posted, lengths(elements)), ["query_id", "element_id"])
         scored = scored.withColumn("score", F.col("bm25") if ranker == "bm25" else F.round(structure_aware_score(F.col("n_terms"), F.col("declared") if "declared" in scored.columns else None), 6))
     return top(scored, k).select("query_id", "element_id", "rank", "score", "matched", "exact", "normalised", "prefix")

@@ -249,9 +249,8 @@ def _ranked(spark, d, ranker):
     elements, terms = _files(spark, d), _clean_terms(spark, d)
     posted = I.postings(elements)
     counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    scored = D.name_flags(D.candidates(terms.drop("clean"), posted), _options(spark, d), elements).join(counts, "query_id")
-    if ranker != "baseline":
-        scored = scored.join(D.bm25(terms, posted, I.lengths(elements)), ["query_id", "element_id"])
+    found = D.candidates(terms.drop("clean"), posted) if ranker == "baseline" else D.scored_candidates(terms, posted, I.lengths(elements))
+    scored = D.name_flags(found, _options(spark, d), elements).join(counts, "query_id")
     score = {"baseline": D.baseline_score, "structure_aware": D.structure_aware_score}.get(ranker, lambda n: F.col("bm25"))(F.col("n_terms"))
     return D.top(scored.withColumn("score", F.round(score, 6)), 10).select("query_id", "element_id", "rank", "score")
 
