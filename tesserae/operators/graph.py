@@ -76,8 +76,8 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out",
         steps = steps.select(F.col("b").alias("a"), F.col("a").alias("b"))
     elif direction == "both":
         steps = steps.union(steps.select("b", "a"))
-    steps = steps.distinct()
-    known = nodes(edges)
+    steps = cut(steps.distinct())  # planned once, not at each level
+    known = steps.select(F.col("a").alias("node")).union(steps.select("b")).distinct()
     frontier = starts.select("node").distinct().join(known, "node", "left_semi").select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     visited = frontier
     for level in range(1, depth + 1):
@@ -172,7 +172,7 @@ def expansion_scores(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> Data
     weight = F.create_map(*[F.lit(x) for kv in KIND_WEIGHT.items() for x in kv])[F.col("kind")]
     out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), weight.alias("w"))
     inn = edges.select(F.col("target").alias("a"), F.col("source").alias("b"), (weight * 0.95).alias("w"))
-    steps = out.union(inn).groupBy("a", "b").agg(F.max("w").alias("w"))
+    steps = cut(out.union(inn).groupBy("a", "b").agg(F.max("w").alias("w")))  # planned once, not at each level
     frontier = seeds.select(F.col("node").alias("seed"), "node", F.col("score").alias("seed_score")).distinct()
     visited = frontier.select("seed", "node")
     found = None

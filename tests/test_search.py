@@ -23,8 +23,8 @@ def values(spark, texts, expression):
 
 
 def test_identifier_tokens(spark):
-    got = values(spark, ["getUserById", "XMLReaderFactory", "User123Service", "MAX_BUFFER_SIZE", "~Storage()", None, ""], T.identifier_tokens)
-    assert got == [["getuserbyid", "get", "user", "by", "id"], ["xmlreaderfactory", "xml", "reader", "factory"], ["user123service", "user", "123", "service"], ["max_buffer_size", "max", "buffer", "size"], ["storage()"], [], []]
+    got = values(spark, ["getUserById", "HTTPHeaderTable", "Row42Cursor", "MAX_BUFFER_SIZE", "~Storage()", None, ""], T.identifier_tokens)
+    assert got == [["getuserbyid", "get", "user", "by", "id"], ["httpheadertable", "http", "header", "table"], ["row42cursor", "row", "42", "cursor"], ["max_buffer_size", "max", "buffer", "size"], ["storage()"], [], []]
 
 
 def test_path_and_query_tokens(spark):
@@ -38,7 +38,7 @@ def test_stems(spark):
 
 
 def test_intents(spark):
-    asked = ["Where is PromptBuilder implemented?", "Why does parser fail on nested templates?", "Who calls validateToken?", "src/parser/source_parser.cpp", "How are results ordered?", "sort these results again later today please"]
+    asked = ["Where is LedgerPrinter implemented?", "Why does the loader crash on empty rows?", "Who calls sealBatch?", "lib/io/row_reader.cpp", "How are results ordered?", "sort these results again later today please"]
     assert values(spark, asked, T.intent) == ["ExactSymbol", "Behavioral", "CallerCallee", "FileOrDirectory", "Conceptual", "General"]
 
 
