@@ -339,12 +339,12 @@ def seed_scores(spark, d):
     return K.seed_scores(facts).select("query_id", "item_id", "seed_score", "seed_rank")
 
 
-def _investigated(spark, d):
+def _investigated(spark, d, most=15, hops=2):
     elements, files, edges = _graph(spark, d)
     options, nodes = table(spark, d, "hybrid_search_options"), _nodes(elements)
     found = cut(pipeline.code_search(options, files, elements).withColumnRenamed("unit_id", "element_id"))
     seeds = K.seed_scores(pipeline.seed_facts(options, _subjects(spark, d), found, nodes, edges))
-    pool = cut(K.investigate(seeds, edges, found.select("query_id", F.col("element_id").alias("item_id"), "rank")))
+    pool = cut(K.investigate(seeds, edges, found.select("query_id", F.col("element_id").alias("item_id"), "rank"), most, hops))
     return elements, files, edges, nodes, found, pool
 
 
@@ -367,7 +367,7 @@ def evidence_bundle(spark, d):
 
 @query("second_hop")
 def second_hop(spark, d):
-    _, _, edges, nodes, found, pool = _investigated(spark, d)
+    _, _, edges, nodes, found, pool = _investigated(spark, d, most=10, hops=1)
     items = pool.join(nodes.select(F.col("element_id").alias("item_id"), "name", "file_path"), "item_id").withColumn("excerpt", F.lit(None).cast("string")).withColumn("expanded", F.col("stage").isin(1, 2))
     gate = K.sufficiency(table(spark, d, "hybrid_search_options"), K.subject_coverage(_subjects(spark, d), items), found.select("query_id", F.col("hybrid_score").alias("score")))
     return K.second_hop(gate, pool, edges)
