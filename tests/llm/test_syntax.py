@@ -1,12 +1,13 @@
 import ast
 import itertools
 import random
+import sys
 import time
 
 import pytest
 
 from tesserae.llm import syntax
-from tesserae.llm.peg import Grammar
+from tesserae.llm.peg import END, Grammar
 
 VALID = {
     "Python": ["", "x = 1\n", "def f(a, *b, c=1, **d) -> int:\n    '''doc {'''\n    return [x for x in a if x]\n", "if a: b\nelif c:\n    d\nelse:\n    pass\n", "@d\nclass A(B):\n    x: int = 1\n", "try:\n    a()\nexcept (B, C) as e:\n    raise X from e\nfinally:\n    pass\n", "match x:\n    case [1, *r]:\n        pass\n", "a = {**b, 'c': 1}\nasync def f():\n    await g()\n", "x = (1 +\n  2)\n"],
@@ -142,6 +143,42 @@ def test_packrat_is_linear_in_nesting():
     assert not grammar.full("Program", grammar.symbols["-"] * 2000)
 
 
+def test_judging_takes_few_calls_a_symbol():
+    for name, texts in VALID.items():
+        syntax.language.cache_clear()
+        own, calls = syntax.language(name), []
+        size = sum(len(own.symbols(own.prepared(text))) for text in texts)
+        sys.setprofile(lambda frame, event, arg: calls.append(1) if event == "call" else None)  # noqa: B023
+        try:
+            for text in texts:
+                own.parses(text)
+        finally:
+            sys.setprofile(None)
+        assert len(calls) < 25 * size, (name, len(calls) / size)
+
+
+def test_generated_matchers_agree_with_the_closures():
+    rng = random.Random(7)
+    for name, texts in VALID.items():
+        own = syntax.language(name)
+        grammar = own.grammar
+        for text in texts + INVALID[name]:
+            own.parses(text)
+        pieces = sorted({s for _, s in grammar.memo if s})
+        signs, met = sorted({c for s in pieces for c in s}), 0
+        for _ in range(300):
+            s = list(rng.choice(pieces)[:60])
+            for _ in range(rng.randint(0, 2)):
+                at = rng.randrange(len(s) + 1)
+                s[at : at + rng.randint(0, 1)] = rng.choices(signs, k=rng.randint(0, 1))
+            s = "".join(s)
+            for rule in rng.sample(sorted(grammar.numbers.values()), 8):
+                end = grammar.compiled[rule](s, 0, {})
+                assert grammar.matchers.rules[rule](s + END, 0, {}) == end, (name, rule, s)
+                met += end > 0
+        assert met > 100
+
+
 def test_rows(spark):
     rows = [(1, "r", "a.py", "x = (", "z"), (1, "r", "a.py", "x = (", "z"), (2, "r", "b.js", "", "z"), (3, "r", "c.go", None, "z"), (4, "r", "d.txt", "(", "z"), (5, None, None, "(", "z"), (6, "s", "E.PY", "x = 1\n" * 20_000, "z")]
     files = spark.createDataFrame(rows, "file_id bigint, repo_name string, path string, content string, language string")
