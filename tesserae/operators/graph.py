@@ -67,8 +67,33 @@ def neighbors(edges: DataFrame, starts: DataFrame, direction: str = "out", kinds
     return starts.select("node").distinct().join(edges.select(F.col(a).alias("node"), F.col(b).alias("neighbor")), "node").distinct()
 
 
+#: Nodes of a frontier that are broadcast; beyond, a level is a shuffled join.
+FRONTIER = 1_000_000
+#: Parts a class of starts is joined in, so that a large one is no single task.
+PARTS = 16
+
+
+def _small(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with a hint to broadcast them where they are few."""
+    return F.broadcast(nodes) if nodes.limit(FRONTIER + 1).count() <= FRONTIER else nodes
+
+
+def _classes(steps: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Starts with the same neighbours share all their ways: ``rep, root`` of each, and ``rep, node`` of the first step."""
+    first = cut(steps.where("a <> b").join(_small(roots), F.col("a") == F.col("root")).select("root", F.col("b").alias("node")).distinct())
+    alike = first.groupBy("root").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"h{seed}") for seed in (1, 2)])
+    reps = alike.groupBy("n", "h1", "h2").agg(F.min("root").alias("rep"))
+    member = cut(alike.join(reps, ["n", "h1", "h2"]).select("rep", "root"))
+    return member, first.join(member.where("rep = root").select("root", "rep"), "root").select("rep", "node")
+
+
 def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
-    """``root, node, depth`` of everything within ``depth`` steps of each ``node`` of ``starts``, the start at depth 0."""
+    """``root, node, depth`` of everything within ``depth`` steps of each ``node`` of ``starts``, the start at depth 0.
+
+    Starts are walked from once for all that have the same neighbours, and get what was
+    reached at the end. Edges are read at each level and met by a broadcast frontier where
+    it is small, so they are neither stored nor shuffled; they may hold rows repeated.
+    """
     if kinds:
         edges = edges.where(F.col("kind").isin(kinds))
     steps = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
@@ -76,17 +101,25 @@ def bfs(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out",
         steps = steps.select(F.col("b").alias("a"), F.col("a").alias("b"))
     elif direction == "both":
         steps = steps.union(steps.select("b", "a"))
-    steps = cut(steps.distinct())  # planned once, not at each level
-    known = steps.select(F.col("a").alias("node")).union(steps.select("b")).distinct()
-    frontier = starts.select("node").distinct().join(known, "node", "left_semi").select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    visited = frontier
-    for level in range(1, depth + 1):
-        fresh = frontier.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct().join(visited, ["root", "node"], "left_anti")
+    asked = _small(cut(starts.select("node").distinct()))
+    roots = cut(steps.select(F.col("a").alias("node")).union(steps.select("b")).join(asked, "node").distinct()).withColumnRenamed("node", "root")
+    begun = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    if depth < 1:
+        return begun
+    member, frontier = _classes(steps, roots)
+    frontier = visited = cut(frontier.withColumn("depth", F.lit(1)))
+    for level in range(2, depth + 1):
+        at = cut(frontier.select(F.col("node").alias("a")).distinct())
+        ways = cut(steps.join(_small(at), "a").distinct())  # of the frontier alone, each once
+        fresh = frontier.join(ways, F.col("node") == F.col("a")).select("rep", F.col("b").alias("node")).distinct().join(visited, ["rep", "node"], "left_anti")
         frontier = cut(fresh.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
-    return visited
+    n = max(24, 2 * edges.sparkSession.sparkContext.defaultParallelism)
+    rows = visited.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS))).repartition(n, "rep", "part")
+    owners = member.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))).repartition(n, "rep", "part")
+    return begun.union(owners.hint("merge").join(rows, ["rep", "part"]).where("root <> node").select("root", "node", "depth"))
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out") -> DataFrame:
@@ -134,17 +167,17 @@ def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def neighborhood(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     """Edges among the nodes within ``depth`` steps of any start."""
-    return induced(edges, bfs(edges, starts, depth, "both").select("node"))
+    return edge_set(induced(edges, bfs(edges, starts, depth, "both").select("node")))
 
 
 def call_graph(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     calls = edges.where("kind = 'Calls'")
-    return induced(calls, bfs(calls, starts, depth, "both").select("node"))
+    return edge_set(induced(calls, bfs(calls, starts, depth, "both").select("node")))
 
 
 def type_hierarchy(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     types = edges.where("kind IN ('InheritsFrom', 'Implements')")
-    return induced(types, bfs(types, starts, depth, "both").select("node"))
+    return edge_set(induced(types, bfs(types, starts, depth, "both").select("node")))
 
 
 def phrase(kind: Column, direction: Column) -> Column:

@@ -118,7 +118,9 @@ _EDGES = """edges AS (
   UNION SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'Imports' FROM lineitem)"""
 
 
-def _edges(spark, d):
+def _edge_rows(spark, d):
+    """The edges as their tables give them, repeated ones included."""
+
     def part(name, a, ca, b, cb, kind):
         return table(spark, d, name).select(F.concat(F.lit(a + ":"), F.col(ca)).alias("source"), F.concat(F.lit(b + ":"), F.col(cb)).alias("target"), F.lit(kind).alias("kind"))
 
@@ -130,7 +132,11 @@ def _edges(spark, d):
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
-    return J.edge_set(edges)
+    return edges
+
+
+def _edges(spark, d):
+    return J.edge_set(_edge_rows(spark, d))
 
 
 def _regions(spark, d):
@@ -201,12 +207,12 @@ _IN = "SELECT DISTINCT target AS a, source AS b FROM edges"
 
 @query("bfs_depth", _bfs_sql(_IN, "SELECT 'region:' || r_regionkey AS node FROM region WHERE 'region:' || r_regionkey IN (SELECT target FROM edges)", 2) + " SELECT root, node, min(depth)::INT AS depth FROM walk GROUP BY ALL")
 def bfs_depth(spark, d):
-    return J.bfs(_edges(spark, d), _regions(spark, d), 2, "in")
+    return J.bfs(_edge_rows(spark, d), _regions(spark, d), 2, "in")
 
 
 @query("reachable", _bfs_sql("SELECT DISTINCT source AS a, target AS b FROM edges", "SELECT 'supplier:' || s_suppkey AS node FROM supplier", 3) + " SELECT root, node, min(depth)::INT AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0")
 def reachable(spark, d):
-    return J.reachable(_edges(spark, d), _suppliers(spark, d), 3)
+    return J.reachable(_edge_rows(spark, d), _suppliers(spark, d), 3)
 
 
 _HOME = "SELECT 'nation:' || n_nationkey AS node FROM nation UNION SELECT 'supplier:' || s_suppkey FROM supplier"
@@ -223,18 +229,18 @@ def induced_subgraph(spark, d):
     f"WITH {_EDGES}, n AS (SELECT target AS node FROM edges WHERE target LIKE 'region:%' UNION SELECT source FROM edges WHERE target LIKE 'region:%') SELECT source, target, kind FROM edges WHERE source IN (SELECT node FROM n) AND target IN (SELECT node FROM n)",
 )
 def neighborhood_subgraph(spark, d):
-    return J.neighborhood(_edges(spark, d), _regions(spark, d), 1)
+    return J.neighborhood(_edge_rows(spark, d), _regions(spark, d), 1)
 
 
 @query("type_hierarchy", f"WITH {_EDGES} SELECT source, target, kind FROM edges WHERE kind = 'InheritsFrom'")
 def type_hierarchy(spark, d):
-    return J.type_hierarchy(_edges(spark, d), _regions(spark, d), 2)
+    return J.type_hierarchy(_edge_rows(spark, d), _regions(spark, d), 2)
 
 
 @query("dependents", _bfs_sql("SELECT DISTINCT target AS a, source AS b FROM edges WHERE kind IN ('Imports', 'Includes', 'Calls', 'References')", "SELECT 'nation:' || n_nationkey AS node FROM nation WHERE 'nation:' || n_nationkey IN (SELECT target FROM edges WHERE kind = 'Includes')", 2) + " SELECT root, node, min(depth)::INT AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0")
 def dependents(spark, d):
     nations = table(spark, d, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("node"))
-    return J.dependents(_edges(spark, d), nations, 2)
+    return J.dependents(_edge_rows(spark, d), nations, 2)
 
 
 _NAMED = "SELECT 'nation:' || n_nationkey AS element_id, n_name AS name, 'nation' AS file_path FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'supplier' FROM supplier UNION ALL SELECT 'customer:' || c_custkey, c_name, 'customer' FROM customer"
@@ -277,12 +283,12 @@ def expansion_scores(spark, d):
 @query("call_graph", f"WITH {_EDGES} SELECT source, target, kind FROM edges WHERE kind = 'Calls'")
 def call_graph(spark, d):
     parts = table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("node"))
-    return J.call_graph(_edges(spark, d), parts, 1)
+    return J.call_graph(_edge_rows(spark, d), parts, 1)
 
 
 @query("expansion_by_depth", _bfs_sql(_IN, "SELECT 'region:' || r_regionkey AS node FROM region WHERE 'region:' || r_regionkey IN (SELECT target FROM edges)", 2) + ", d AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL), l AS (SELECT DISTINCT depth AS within FROM d) SELECT within::INT AS depth, count(DISTINCT root) AS n_roots, count(*) AS n_nodes FROM d JOIN l ON depth <= within GROUP BY 1")
 def expansion_by_depth(spark, d):
-    return X.depth_study(J.bfs(_edges(spark, d), _regions(spark, d), 2, "in"))
+    return X.depth_study(J.bfs(_edge_rows(spark, d), _regions(spark, d), 2, "in"))
 
 
 @query(
