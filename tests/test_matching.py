@@ -22,7 +22,7 @@ def shuffled_after_python(df) -> list[str]:
     return [x for x in lines[:at] if "Exchange" in x or "Aggregate" in x or "Join" in x]
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "baseline_rank"])
+@pytest.mark.parametrize("name", ["bm25_topk", "baseline_rank", "structure_aware_rank"])
 def test_only_the_first_of_each_query_leave_a_task(spark, name):
     above = shuffled_after_python(entry.queries()[name](spark, TINY))
     assert len(above) == 1 and "Exchange" in above[0]  # that of the window over what tasks kept
