@@ -28,7 +28,7 @@ def test_only_the_first_of_each_query_leave_a_task(spark, name):
     assert len(above) == 1 and "Exchange" in above[0]  # that of the window over what tasks kept
 
 
-@pytest.mark.parametrize("name", ["match_all_terms", "name_match_flags"])
+@pytest.mark.parametrize("name", ["match_all_terms", "name_match_flags", "candidate_hits"])
 def test_hits_stay_where_their_elements_are(spark, name):
     assert shuffled_after_python(entry.queries()[name](spark, TINY)) == []
 
